@@ -84,15 +84,15 @@ def plan(
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", rate).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    border = (
+    rests = targets.select(F.col("source").alias("__source"), "rest")
+    last = (
         sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-        .join(targets.select("source", "rest"), sums["source"].eqNullSafe(targets["source"]))
+        .join(rests, F.col("source").eqNullSafe(F.col("__source")))
         .where("before <= rest")
-        .groupBy(sums["source"])
+        .groupBy("__source")
         .agg(F.max(F.struct("bucket", "before", "rest")).alias("at"))
-        .select("source", F.col("at.bucket").alias("bucket"), (F.col("at.rest") - F.col("at.before")).alias("room"))
+        .select("__source", F.col("at.bucket").alias("__bucket"), (F.col("at.rest") - F.col("at.before")).alias("__room"))
     )
-    last = border.select(F.col("source").alias("__source"), F.col("bucket").alias("__bucket"), F.col("room").alias("__room"))
     per_source = targets.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"))
     per_source = scratch.keep(per_source.join(last, F.col("__of").eqNullSafe(F.col("__source"))).drop("__source"), "sources")
     scratch.drop("buckets")
