@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-PER_CLASS = 2500
+PER_CLASS = 4000
 MAX_BYTES = 1 << 15
 
 

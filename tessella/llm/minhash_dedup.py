@@ -274,3 +274,20 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         .select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
     )
     return result.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def keep_one_each(documents: DataFrame) -> DataFrame:
+    """The rows of ``documents``, all columns, that stay: of each near-duplicate group the one with the smallest id.
+
+    Rows with a null id and rows without words stay. Of several rows with one id
+    the one with the smallest text stays.
+    """
+    dropped = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
+    left = documents.join(dropped, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
+    repeated = documents.where("doc_id is not null").groupBy(F.col("doc_id").alias("__repeated")).agg(F.count("*").alias("n")).where("n > 1").select("__repeated")
+    if repeated.isEmpty():
+        return left
+    once = left.join(repeated, F.col("doc_id") == F.col("__repeated"), "left_anti")
+    several = left.join(repeated, F.col("doc_id") == F.col("__repeated"), "left_semi")
+    first = several.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*documents.columns), F.struct("text")).alias("__row")).select("__row.*")
+    return once.unionByName(first)

@@ -27,6 +27,7 @@ from tessella.llm.textkit import as_bytes, slices
 
 STEP, FILTERS, HALF = 4, 16, 64  # HALF steps are half a chunk
 FOLDS, HELD, THRESHOLD = 4, 2, 0.7
+CLEAN_WEIGHT = 3.0
 _RANDOM_DIMS = 4
 
 
@@ -100,7 +101,7 @@ def probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = 6, batch: int = 64, seed: int = 5) -> Model:
+def fit(texts: list[bytes], y: np.ndarray, epochs: int = 24, batch: int = 64, seed: int = 5) -> Model:
     """Adam on the logistic loss; gradients pass through each chunk's maxima. Without both labels, a constant."""
     rng = np.random.default_rng(seed)
     scale = (2 / (2 * WIDTH)) ** 0.5
@@ -111,9 +112,11 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 6, batch: int = 64, see
         model.constant[:] = {1: 4.0, 0: -4.0}.get(int(y[0]) if len(y) else 1)
         return model
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in vars(model).values()]
-    weight = np.where(y == 1, len(y) / (2 * max(1, (y == 1).sum())), len(y) / (2 * max(1, (y == 0).sum())))
+    # Rows to keep weigh CLEAN_WEIGHT times as much as rows to reject, however many of each the sample has.
+    weight = np.where(y == 1, CLEAN_WEIGHT / (y == 1).sum(), 1 / (y == 0).sum()) * len(y) / (1 + CLEAN_WEIGHT)
     t = 0
-    for _ in range(epochs):
+    for epoch in range(epochs):
+        rate = 0.005 * (1 + np.cos(np.pi * epoch / epochs))
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             pick = order[lo : lo + batch]
@@ -142,7 +145,7 @@ def fit(texts: list[bytes], y: np.ndarray, epochs: int = 6, batch: int = 64, see
             for value, grad, (m, v) in zip(vars(model).values(), grads, moments, strict=True):
                 m += 0.1 * (grad - m)
                 v += 0.001 * (grad * grad - v)
-                value -= (0.01 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
+                value -= (rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)).astype(np.float32)
     return model
 
 

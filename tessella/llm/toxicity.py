@@ -32,7 +32,7 @@ from tessella.llm.textkit import slices
 BUCKETS, RANK = 1 << 20, 4
 STEMS = (4, 5, 6)
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
-MIN_DOCS = 4
+MIN_Z, MAX_TERMS = 2.5, 20_000
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO_ENTRIES = 200_000
 
@@ -55,43 +55,50 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 64, l1: float = 2e-4, seed: int = 9) -> Model:
-    """Proximal Adam on the logistic loss. Without both labels, a constant."""
+def _telling(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets whose log odds ratio between the labels is MIN_Z standard errors from nothing, at most MAX_TERMS."""
+    seen = np.unique(np.concatenate(docs))
+    pos, neg = (np.bincount(np.searchsorted(seen, np.concatenate([d for d, v in zip(docs, y, strict=True) if v == k])), minlength=len(seen)) + 0.5 for k in (1, 0))
+    rest_pos, rest_neg = (y == 1).sum() + 1 - pos, (y == 0).sum() + 1 - neg
+    z = (np.log(pos / rest_pos) - np.log(neg / rest_neg)) / np.sqrt(1 / pos + 1 / rest_pos + 1 / neg + 1 / rest_neg)
+    order = np.argsort(-np.abs(z), kind="stable")[:MAX_TERMS]
+    return np.sort(seen[order[np.abs(z[order]) >= MIN_Z]])
+
+
+def fit(texts: list[str], y: np.ndarray, epochs: int = 15, batch: int = 64, l1: float = 1e-3, seed: int = 9) -> Model:
+    """Proximal Adam on the logistic loss, labels weighted alike. Without both labels, a constant."""
     if len(set(y.tolist())) < 2:
         return Model({1: 4.0}.get(int(y[0]) if len(y) else 0, -4.0), {}, np.zeros(0), np.zeros((0, RANK)))
     docs = [np.unique(np.array([b for w in words_of(t) for b in buckets_of(w)], dtype=np.int64)) for t in texts]
-    seen, n = np.unique(np.concatenate(docs), return_counts=True)
-    seen = seen[n >= MIN_DOCS]
+    seen = _telling(docs, y)
     docs = [np.searchsorted(seen, d[np.isin(d, seen, assume_unique=True)]) for d in docs]
+    share = (y == 1).mean()
+    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     rng = np.random.default_rng(seed)
-    w, v, c = np.zeros(len(seen)), rng.normal(0, 0.01, (len(seen), RANK)), 0.0
-    state = [np.zeros_like(x) for x in (w, w, v, v)]
+    w, v, c = np.zeros(len(seen)), rng.normal(0, 0.01, (len(seen), RANK)), np.zeros(1)
+    state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, v, c)]
     t = 0
     for _ in range(epochs):
         order = rng.permutation(len(y))
         for lo in range(0, len(y), batch):
             pick = order[lo : lo + batch]
             own = [docs[i] for i in pick]
-            sizes = np.array([len(d) for d in own])
-            at, of = np.concatenate(own), np.repeat(np.arange(len(pick)), sizes)
+            at, of = np.concatenate(own), np.repeat(np.arange(len(pick)), [len(d) for d in own])
             sums = np.stack([np.bincount(of, v[at, f], len(pick)) for f in range(RANK)], axis=1)
             squares = np.bincount(of, (v[at] ** 2).sum(axis=1), len(pick))
-            logit = c + np.bincount(of, w[at], len(pick)) + 0.5 * ((sums**2).sum(axis=1) - squares)
-            g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[pick]) / len(pick)
-            each = g[of]
-            grad_w = np.bincount(at, each, len(w))
-            pull = each[:, None] * (sums[of] - v[at])
-            grad_v = np.stack([np.bincount(at, pull[:, f], len(w)) for f in range(RANK)], axis=1)
+            logit = c[0] + np.bincount(of, w[at], len(pick)) + 0.5 * ((sums**2).sum(axis=1) - squares)
+            g = weight[pick] * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[pick]) / len(pick)
+            pull = g[of][:, None] * (sums[of] - v[at])
+            grads = [np.bincount(at, g[of], len(w)), np.stack([np.bincount(at, pull[:, f], len(w)) for f in range(RANK)], axis=1), g.sum(keepdims=True)]
             t += 1
-            for value, grad, m, s, shrink in ((w, grad_w, state[0], state[1], l1), (v, grad_v, state[2], state[3], l1)):
+            for value, grad, (m, s), shrink in zip((w, v, c), grads, state, (l1, l1, 0.0), strict=True):
                 m += 0.1 * (grad - m)
                 s += 0.001 * (grad * grad - s)
-                rate = 0.02 / (np.sqrt(s / (1 - 0.999**t)) + 1e-4)
+                rate = 0.02 / (np.sqrt(s / (1 - 0.999**t)) + 1e-3)
                 value -= rate * m / (1 - 0.9**t)
                 np.copyto(value, np.sign(value) * np.maximum(np.abs(value) - rate * shrink, 0))
-            c -= 0.02 * float(np.sign(g.sum())) * min(1.0, abs(float(g.sum())) * 10)
     live = np.flatnonzero((w != 0) | (v != 0).any(axis=1))
-    return Model(c, {int(b): k for k, b in enumerate(seen[live])}, w[live], v[live])
+    return Model(float(c[0]), {int(b): k for k, b in enumerate(seen[live])}, w[live], v[live])
 
 
 class Scorer:
