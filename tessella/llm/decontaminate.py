@@ -217,25 +217,28 @@ def contaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     return out
 
 
+def _finder(held):
+    @F.pandas_udf("boolean")
+    def found(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            hit = np.zeros(len(texts), bool)
+            own: list[str] = []
+            size = first = 0
+            for k, t in enumerate(texts):
+                own.append(plain(t))
+                size += len(own[-1])
+                if size > 1 << 20 or k == len(texts) - 1:
+                    for d, *_ in find(held.value, own):
+                        hit[first + d] = True
+                    first, own, size = k + 1, [], 0
+            yield pd.Series(hit)
+
+    return found
+
+
 def clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``documents`` in which no item is found, with all their columns."""
     for index in _indexes(benchmark):
-        held = documents.sparkSession.sparkContext.broadcast(index)
-
-        @F.pandas_udf("boolean")
-        def found(batches: Iterator[pd.Series], held=held) -> Iterator[pd.Series]:
-            for texts in batches:
-                hit = np.zeros(len(texts), bool)
-                own: list[str] = []
-                size = first = 0
-                for k, t in enumerate(texts):
-                    own.append(plain(t))
-                    size += len(own[-1])
-                    if size > 1 << 20 or k == len(texts) - 1:
-                        for d, *_ in find(held.value, own):
-                            hit[first + d] = True
-                        first, own, size = k + 1, [], 0
-                yield pd.Series(hit)
-
+        found = _finder(documents.sparkSession.sparkContext.broadcast(index))
         documents = documents.where(~found(F.col("text")))
     return documents
