@@ -141,30 +141,8 @@ def _first_key(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return chunk * CHUNK + np.where(errors[row, chunk] == 1, differ[row, chunk].argmax(axis=1), 0)
 
 
-def _across(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Within runs of one (key, block pair), pairs of different components that may link.
-
-    Rows come sorted by run; a run has at most two blocks, so what is held is
-    bounded. A pair is given at the first key that it shares, once.
-    """
-
-    def compare(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        doc, comp, blk, n = (t.column(k).to_numpy() for k in ("doc_id", "component", "block", "n_shingles"))
-        first, second, slot = (t.column(k)[0].as_py() for k in ("first", "second", "slot"))
-        codes = _codes(t.column("codes"))
-        out_a, out_b = [], []
-        left, right = np.flatnonzero(blk == first), np.flatnonzero(blk == second)
-        for i in left:
-            to = right[(right > i) & (comp[right] != comp[i])] if first == second else right[comp[right] != comp[i]]
-            if len(to):
-                to = to[_may_link(codes[to], codes[i], n[to], n[i])]
-                to = to[_first_key(codes[to], codes[i]) == slot]
-                out_a.append(np.minimum(doc[to], doc[i]))
-                out_b.append(np.maximum(doc[to], doc[i]))
-        none = np.zeros(0, np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([none, *out_a])), pa.array(np.concatenate([none, *out_b]))], names=["a", "b"])
-
+def _runs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that agree in (key, first, second), which come one after the other."""
     held: list[pa.RecordBatch] = []
     run = None
     for batch in frames:
@@ -175,12 +153,59 @@ def _across(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             this = tuple(ids[:, lo])
             if run is not None and this != run:
-                yield compare(held)
+                yield pa.Table.from_batches(held)
                 held = []
             run = this
             held.append(batch.slice(lo, hi - lo))
     if held:
-        yield compare(held)
+        yield pa.Table.from_batches(held)
+
+
+def _open_in_run(t: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """Row numbers of pairs of a run, of different components, that may link and have their first key here."""
+    comp, blk, n = (t.column(k).to_numpy() for k in ("component", "block", "n_shingles"))
+    first, second, slot = (t.column(k)[0].as_py() for k in ("first", "second", "slot"))
+    codes = _codes(t.column("codes"))
+    left, right = np.flatnonzero(blk == first), np.flatnonzero(blk == second)
+    for i in left:
+        to = right[(right > i) & (comp[right] != comp[i])] if first == second else right[comp[right] != comp[i]]
+        if len(to):
+            to = to[_may_link(codes[to], codes[i], n[to], n[i])]
+            to = to[_first_key(codes[to], codes[i]) == slot]
+        if len(to):
+            yield int(i), to
+
+
+def _involved(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each run that have an open pair."""
+    for t in _runs(frames):
+        used = np.zeros(t.num_rows, bool)
+        for i, to in _open_in_run(t):
+            used[i] = True
+            used[to] = True
+        if used.any():
+            yield from t.filter(pa.array(used)).combine_chunks().to_batches()
+
+
+def _linked(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Open pairs of each run with 100 * |A & B| >= 75 * |A | B| on the full sets, which come along."""
+    for t in _runs(frames):
+        doc = t.column("doc_id").to_numpy()
+        sets = t.column("shingles").combine_chunks()
+        flat, offsets = sets.values.to_numpy(), sets.offsets.to_numpy()
+        size = np.diff(offsets)
+        a, b = [], []
+        for i, to in _open_in_run(t):
+            own = np.sort(flat[offsets[i] : offsets[i + 1]])
+            ends = np.cumsum(size[to])
+            theirs = flat[np.repeat(offsets[to] - (ends - size[to]), size[to]) + np.arange(ends[-1])]
+            hit = own[np.minimum(np.searchsorted(own, theirs), len(own) - 1)] == theirs
+            both = np.add.reduceat(hit.astype(np.int64), ends - size[to])
+            to = to[100 * both >= 75 * (len(own) + size[to] - both)]
+            a.append(np.minimum(doc[to], doc[i]))
+            b.append(np.maximum(doc[to], doc[i]))
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -211,19 +236,28 @@ def _star(placed: DataFrame, salt: int) -> DataFrame:
     return named.groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= STAR_KEYS).select("a", "b")
 
 
-def _rest(placed: DataFrame, heads: DataFrame) -> DataFrame:
-    """All pairs across components in buckets that hold more than one, in blocks."""
+_RUN = "key long, first int, second int, slot int, doc_id long, component long, block int, n_shingles long, codes binary"
+
+
+def _rest(placed: DataFrame, heads: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links across components in buckets that hold more than one, block against block.
+
+    Full sets travel only to the runs in which a document has an open pair, and are
+    compared there, so that pairs that fail never become rows.
+    """
     bounds = [F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("members")]
     still = placed.groupBy("slot", "key").agg(*bounds).where("least < most").select("slot", "key", F.ceil(F.col("members") / BLOCK).cast("int").alias("blocks"))
     blocked = placed.join(still, ["slot", "key"]).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    by = ["key", "first", "second"]
     runs = (
         blocked.join(heads.select("doc_id", "n_shingles", "codes"), "doc_id")
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         .select("key", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "slot", "doc_id", "component", "block", "n_shingles", "codes")
-        .repartition("key", "first", "second")
-        .sortWithinPartitions("key", "first", "second")
+        .repartition(*by)
+        .sortWithinPartitions(*by)
     )
-    return runs.mapInArrow(_across, "a long, b long").distinct()
+    wide = runs.mapInArrow(_involved, _RUN).join(sets, "doc_id").select(*by, "slot", "doc_id", "component", "block", "n_shingles", "codes", "shingles")
+    return wide.repartition(*by).sortWithinPartitions(*by).mapInArrow(_linked, "a long, b long").distinct()
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -257,15 +291,17 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         placed = touched.withColumn("component", F.col("doc_id"))
         if found is not None:
             placed = touched.join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        pairs = _left_open(_star(placed, k), heads) if k < STAR_ROUNDS else _rest(placed, heads)
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = scratch.keep(pairs, f"pairs-{k}")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        new = scratch.keep(_confirmed(pairs, sets), f"links-{k}")
+        if k < STAR_ROUNDS:
+            pairs = _left_open(_star(placed, k), heads)
+            pairs = scratch.keep(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), f"pairs-{k}")
+            tested = pairs if tested is None else tested.unionByName(pairs)
+            new = _confirmed(pairs, sets)
+        else:
+            new = _rest(placed, heads, sets)
+        new = scratch.keep(new, f"links-{k}")
         links = new if links is None else links.unionByName(new)
         found = components(links, scratch, f"components-{k}")
-    scratch.drop("heads", "touched", "sets", *(f"pairs-{k}" for k in range(STAR_ROUNDS + 1)), *(f"links-{k}" for k in range(STAR_ROUNDS + 1)))
+    scratch.drop("heads", "touched", "sets", *(f"pairs-{k}" for k in range(STAR_ROUNDS)), *(f"links-{k}" for k in range(STAR_ROUNDS + 1)))
 
     result = (
         signed_docs.select("doc_id", "n_shingles")
