@@ -164,71 +164,102 @@ def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
 
 
 _AMBIGUOUS = re.compile(r" (?:\s|$)")
-_CACHE_ENTRIES = 300_000
+_MEMORY_ENTRIES = 1_000_000
 _encoders: dict[str, PieceEncoder] = {}
 
 
+class _Numbers(dict):
+    """Numbers pieces as they first come, and keeps the new ones in order."""
+
+    def __init__(self, first: int):
+        self.next, self.new = first, []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = k = self.next
+        self.next += 1
+        self.new.append(piece)
+        return k
+
+
 class PieceEncoder:
-    """Whole-text encoding through a memory of blank-separated pieces.
+    """Whole-text encoding through a memory of space-separated pieces.
 
     Byte-level pre-tokenisation always cuts before a space that a non-space
-    follows, so a text's ids are those of its pieces, joined. Texts in which a
-    space is followed by another blank or ends the text are encoded in one call.
-    The memory only saves time; it is emptied when full.
+    follows, so a text's ids are those of its pieces, each with the space before
+    it, joined. New pieces are encoded together in one text; a piece's ids begin
+    where a token begins with a space. Texts in which a space is followed by
+    another blank or ends the text, and all texts under other kinds of tokenizer,
+    are encoded whole. The memory only saves time; it is emptied when full.
     """
 
     def __init__(self, path: str):
+        import json
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        with open(path, encoding="utf-8") as f:
+            how = json.load(f)
+        pre = how.get("pre_tokenizer") or {}
+        self._by_piece = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not how.get("normalizer")
+        vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
+        self._spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._spaced[[k for t, k in vocabulary.items() if t.startswith("\u0120")]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self._first: dict[str, int] = {}
-        self._later: dict[str, int] = {}
-        self._flat = np.zeros(1 << 16, np.uint32)
-        self._start = np.zeros(1 << 16, np.int64)
-        self._length = np.zeros(1 << 16, np.int64)
-        self._entries = self._used = 0
-
-    def _whole(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def _learn(self, memory: dict[str, int], pieces: list[str], lead: str) -> None:
-        for piece, ids in zip(pieces, self._whole([lead + p for p in pieces]), strict=True):
-            n, k = len(ids), self._entries
-            if self._used + n > len(self._flat):
-                self._flat = np.concatenate([self._flat, np.zeros(len(self._flat) + n, np.uint32)])
-            if k == len(self._start):
-                self._start, self._length = (np.concatenate([x, np.zeros(len(x), np.int64)]) for x in (self._start, self._length))
-            self._flat[self._used : self._used + n] = ids
-            self._start[k], self._length[k] = self._used, n
-            memory[piece] = k
-            self._entries, self._used = k + 1, self._used + n
+        self._heads: dict[str, np.ndarray] = {}
+        self._later = _Numbers(0)
+        self._flat, self._start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+
+    def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self) -> None:
+        new, self._later.new = self._later.new, []
+        if not new:
+            return
+        ids = self._whole([" " + " ".join(new)])[0]
+        starts = np.flatnonzero(self._spaced[ids])
+        if len(starts) != len(new) or starts[0] != 0:
+            own = self._whole([" " + p for p in new])
+            ids, starts = np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])
+        self._start = np.concatenate([self._start, len(self._flat) + np.append(starts[1:], len(ids))])
+        self._flat = np.concatenate([self._flat, ids])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if self._entries > _CACHE_ENTRIES:
+        if len(self._later) > _MEMORY_ENTRIES:
             self._clear()
-        plain = [not _AMBIGUOUS.search(t) for t in texts]
-        parts = [t.split(" ") if ok else None for t, ok in zip(texts, plain, strict=True)]
-        heads = {p[0] for p in parts if p} - self._first.keys()
-        rest = set().union(*(p[1:] for p in parts if p)) - self._later.keys()
-        self._learn(self._first, sorted(heads), "")
-        self._learn(self._later, sorted(rest), " ")
-        known = [p for p in parts if p]
-        later = self._later
-        index = np.fromiter((k for p in known for k in (self._first[p[0]], *map(later.__getitem__, p[1:]))), np.int64)
-        lengths = self._length[index]
+        out: list[np.ndarray | None] = [None] * len(texts)
+        odd, heads, index, counts, plain = [], [], [], [], []
+        number = self._later.__getitem__
+        for i, text in enumerate(texts):
+            if not self._by_piece or _AMBIGUOUS.search(text):
+                odd.append(i)
+                continue
+            head, *pieces = text.split(" ")
+            heads.append(head)
+            index.extend(map(number, pieces))
+            counts.append(len(pieces))
+            plain.append(i)
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+            out[i] = ids
+        fresh = sorted({h for h in heads if h not in self._heads})
+        if len(self._heads) > _MEMORY_ENTRIES:
+            self._heads.clear()
+            fresh = sorted(set(heads))
+        self._heads.update(zip(fresh, self._whole(fresh), strict=True))
+        self._learn()
+        at = np.array(index, np.int64)
+        lengths = self._start[at + 1] - self._start[at]
         ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        flat = self._flat[np.repeat(self._start[index] - (ends - lengths), lengths) + np.arange(total)]
-        cuts = np.cumsum([len(p) for p in known])
-        pieces = iter(np.split(flat, ends[cuts[:-1] - 1]) if known else [])
-        odd = iter(self._whole([t for t, ok in zip(texts, plain, strict=True) if not ok]))
-        return [next(pieces) if ok else np.array(next(odd), np.uint32) for ok in plain]
+        flat = self._flat[np.repeat(self._start[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        for k, i in enumerate(plain):
+            out[i] = np.concatenate([self._heads[heads[k]], flat[cuts[k] : cuts[k + 1]]])
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
@@ -278,46 +309,54 @@ def write_shards(documents: DataFrame, path: str, tokenizer_path: str, end_id: i
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """The shards with ``first``, the number of ids in all shards before."""
-    shards = spark.read.schema(_SHARD).parquet(path)
+    """part, seq, n_docs, n_tokens, payload of each shard."""
+    return spark.read.schema(_SHARD).parquet(path)
+
+
+def _with_first(rows: DataFrame, shards: DataFrame) -> DataFrame:
+    """``first``, the number of ids in all shards before, for rows of part and seq; payloads don't travel."""
     run = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
     firsts = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(run), F.lit(0)).alias("first"))
-    return shards.join(firsts, ["part", "seq"])
+    return rows.join(firsts, ["part", "seq"])
 
 
-def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for first, payload in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            docs, lengths, matrix = open_shard(payload.as_buffer().to_pybytes())
-            raw = matrix.decode().astype("<u4")
-            ends = np.cumsum(lengths)
-            crcs = [zlib.crc32(raw[b - n : b]) for b, n in zip(ends, lengths, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(first + ends - lengths), pa.array(lengths), pa.array(crcs, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+def _over_shards(what: Callable[[bytes], list[pa.Array]], names: list[str]):
+    """Columns made from each payload, beside its part and seq."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in range(b.num_rows):
+                own = what(b.column(2)[k].as_buffer().to_pybytes())
+                n = len(own[0])
+                where = [pa.array(np.full(n, b.column(c)[k].as_py(), np.int64)) for c in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*where, *own], names=["part", "seq", *names])
+
+    return run
+
+
+def _documents(payload: bytes) -> list[pa.Array]:
+    docs, lengths, matrix = open_shard(payload)
+    raw = matrix.decode().astype("<u4")
+    ends = np.cumsum(lengths)
+    crcs = [zlib.crc32(raw[b - n : b]) for b, n in zip(ends, lengths, strict=True)]
+    return [pa.array(docs, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
 
 
 def read_documents(shards: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, decoded from the shards."""
-    return shards.select("first", "payload").mapInArrow(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    run = _over_shards(_documents, ["doc_id", "own_start", "n_tokens", "ids_crc32"])
+    rows = shards.select("part", "seq", "payload").mapInArrow(run, "part long, seq long, doc_id long, own_start long, n_tokens long, ids_crc32 long")
+    return _with_first(rows, shards).select("doc_id", (F.col("first") + F.col("own_start")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def count_token(shards: DataFrame, token: int) -> DataFrame:
     """(part, seq, n): occurrences of a token in each shard, from rank alone."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            n = [open_shard(x.as_buffer().to_pybytes())[2].count(token) for x in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64())], names=["part", "seq", "n"])
-
+    run = _over_shards(lambda x: [pa.array([open_shard(x)[2].count(token)], pa.int64())], ["n"])
     return shards.select("part", "seq", "payload").mapInArrow(run, "part long, seq long, n long")
 
 
 def locate_token(shards: DataFrame, token: int) -> DataFrame:
     """position: where a token stands in the sequence of all ids, by select."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                at = first + open_shard(x.as_buffer().to_pybytes())[2].occurrences(token)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64())], names=["position"])
-
-    return shards.select("first", "payload").mapInArrow(run, "position long")
+    run = _over_shards(lambda x: [pa.array(open_shard(x)[2].occurrences(token), pa.int64())], ["at"])
+    rows = shards.select("part", "seq", "payload").mapInArrow(run, "part long, seq long, at long")
+    return _with_first(rows, shards).select((F.col("first") + F.col("at")).alias("position"))
