@@ -77,7 +77,7 @@ def update(a: Column, i, value) -> Column:
 
 def _missing_array(a: Column) -> Column:
     # An element of the wanted type, made only when it raises.
-    return F.array(F.coalesce(F.raise_error(F.lit("array index out of range")).cast("string").cast("void"), F.get(a, F.lit(0))))
+    return F.array(F.coalesce(F.raise_error(F.lit("array index out of range")), F.get(a, F.lit(0))))
 
 
 def merge(a: Column, i, value, f: Fn) -> Column:

@@ -104,7 +104,7 @@ def _put(d: Column, key, value) -> Column:
 
 
 def _error(d: Column, text: str) -> Column:
-    return F.array(F.coalesce(F.raise_error(F.lit(text)).cast("string").cast("void"), F.get(d, F.lit(0))))
+    return F.array(F.coalesce(F.raise_error(F.lit(text)), F.get(d, F.lit(0))))
 
 
 def insert(d: Column, key, value) -> Column:

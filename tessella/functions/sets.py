@@ -32,7 +32,7 @@ def has(s: Column, value) -> Column:
 
 def insert(s: Column, value) -> Column:
     """The set with value; it is an error if it is there."""
-    return F.when(has(s, value), F.array(F.coalesce(F.raise_error(F.lit("set has the value already")).cast("string").cast("void"), F.get(s, F.lit(0))))).otherwise(try_insert(s, value)["set"])
+    return F.when(has(s, value), F.array(F.coalesce(F.raise_error(F.lit("set has the value already")), F.get(s, F.lit(0))))).otherwise(try_insert(s, value)["set"])
 
 
 def try_insert(s: Column, value) -> Column:
@@ -42,7 +42,7 @@ def try_insert(s: Column, value) -> Column:
 
 def delete(s: Column, value) -> Column:
     """The set without value; it is an error if it isn't there."""
-    return F.when(has(s, value), F.array_remove(s, _col(value))).otherwise(F.array(F.coalesce(F.raise_error(F.lit("set lacks the value")).cast("string").cast("void"), F.get(s, F.lit(0)))))
+    return F.when(has(s, value), F.array_remove(s, _col(value))).otherwise(F.array(F.coalesce(F.raise_error(F.lit("set lacks the value")), F.get(s, F.lit(0)))))
 
 
 def try_delete(s: Column, value) -> Column:

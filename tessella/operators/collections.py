@@ -21,12 +21,12 @@ def with_index(df: DataFrame, *order: Column | str) -> DataFrame:
     Rows are range-partitioned by the order, counted per partition, and numbered
     within each; only one count per partition is summed over.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__part", F.spark_partition_id())
-    numbered = ranged.withColumn("__in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
-    counts = numbered.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("__part", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
-    return numbered.join(starts, "__part").withColumn(INDEX, F.col("__start") + F.col("__in")).drop("__part", "__in", "__start", "__n")
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__ix_part", F.spark_partition_id())
+    numbered = ranged.withColumn("__ix_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    counts = numbered.groupBy("__ix_part").agg(F.count("*").alias("__ix_n"))
+    before = Window.orderBy("__ix_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("__ix_part", F.coalesce(F.sum("__ix_n").over(before), F.lit(0)).alias("__ix_start"))
+    return numbered.join(starts, "__ix_part").withColumn(INDEX, F.col("__ix_start") + F.col("__ix_in")).drop("__ix_part", "__ix_in", "__ix_start", "__ix_n")
 
 
 def generate(spark, n: int, *columns: Column) -> DataFrame:

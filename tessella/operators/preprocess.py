@@ -46,9 +46,9 @@ def label_encoder(df: DataFrame, column: str) -> DataFrame:
 
 def encode(df: DataFrame, encoder: DataFrame, column: str, name: str) -> DataFrame:
     """Codes by lookup; a value that the encoder hasn't seen is an error."""
-    joined = df.join(encoder.withColumnRenamed("value", column), column, "left")
-    unseen = F.col("code").isNull() & F.col(column).isNotNull()
-    return joined.withColumn(name, F.when(unseen, F.raise_error(F.lit(f"unseen value in {column}")).cast("long")).otherwise(F.col("code"))).drop("code")
+    joined = df.join(encoder.select(F.col("value").alias(column), F.col("code").alias("__code")), column, "left")
+    unseen = F.col("__code").isNull() & F.col(column).isNotNull()
+    return joined.withColumn(name, F.when(unseen, F.raise_error(F.lit(f"unseen value in {column}")).cast("long")).otherwise(F.col("__code"))).drop("__code")
 
 
 def decode(df: DataFrame, encoder: DataFrame, column: str, name: str) -> DataFrame:

@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from tessella.plans import analysis, nested, relational, scalars
+
+_ALL = {f: sql for module in (relational, scalars, nested, analysis) for f, sql in module.QUERIES_SQL.items()}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
+SQL: dict[str, str] = {f.__name__: sql for f, sql in _ALL.items() if sql}
