@@ -10,14 +10,13 @@ A wavelet matrix keeps one bit-plane per bit of the ids, from the highest; after
 each plane the sequence is stably split into zeros and ones. Access, counting and
 occurrence lookup walk the planes with rank and select, without decoding.
 
-Scale: one range shuffle of the texts; a task holds one shard (about a million
-tokens) and its longest single text. Document offsets come from a running sum
-over the table of shards, which has one row per million tokens.
+Scale: one range shuffle of the texts; a task holds one shard (about a quarter
+million tokens) and its longest single text. Document offsets come from a running sum
+over the table of shards, which has one row per shard.
 """
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from tessella.llm.textkit import slices
 
-SHARD_TOKENS = 1 << 20
+SHARD_TOKENS = 1 << 18
 END_ID = 0
 _HEADER = struct.Struct("<4sBxxxQQ")
 _MAGIC = b"WVM1"
@@ -50,11 +49,15 @@ class WaveletMatrix:
         seq = ids.astype(np.uint16 if width <= 16 else np.uint32)
         planes, zeros = [], []
         for b in range(width - 1, -1, -1):
-            bit = ((seq >> b) & 1).astype(bool)
+            bit = seq & seq.dtype.type(1 << b) != 0
             planes.append(np.packbits(bit))
-            low = seq[~bit]
-            zeros.append(len(low))
-            seq = np.concatenate([low, seq[bit]])
+            high = np.flatnonzero(bit)
+            z = len(seq) - len(high)
+            zeros.append(z)
+            split = np.empty_like(seq)
+            np.compress(~bit, seq, out=split[:z])
+            np.take(seq, high, out=split[z:], mode="clip")
+            seq = split
         return cls(width, len(ids), planes, zeros)
 
     def to_bytes(self) -> bytes:
@@ -68,14 +71,15 @@ class WaveletMatrix:
 
     def decode(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up: each plane's split is undone."""
-        seq = np.zeros(self.n, np.uint32)
+        seq = np.zeros(self.n, np.uint16 if self.width <= 16 else np.uint32)
         for k in range(self.width - 1, -1, -1):
             bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
-            below = np.empty_like(seq)
+            joined = np.empty_like(seq)
             z = self.zeros[k]
-            below[~bit] = seq[:z]
-            below[bit] = seq[z:] | np.uint32(1 << (self.width - 1 - k))
-            seq = below
+            seq[z:] |= seq.dtype.type(1 << (self.width - 1 - k))
+            joined[np.flatnonzero(~bit)] = seq[:z]
+            joined[np.flatnonzero(bit)] = seq[z:]
+            seq = joined
         return seq
 
     def _rank1(self, k: int, i: int) -> int:
@@ -163,8 +167,7 @@ def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     return doc_ids, lengths, WaveletMatrix.from_bytes(memoryview(data)[at + 17 * docs :], width, n)
 
 
-_AMBIGUOUS = re.compile(r" (?:\s|$)")
-_MEMORY_ENTRIES = 1_000_000
+_MEMORY_ENTRIES, _TOGETHER = 1_000_000, 2048
 _encoders: dict[str, PieceEncoder] = {}
 
 
@@ -200,6 +203,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
+        if hasattr(self._tokenizer.model, "_resize_cache"):
+            self._tokenizer.model._resize_cache(0)  # the memory here takes its place
         with open(path, encoding="utf-8") as f:
             how = json.load(f)
         pre = how.get("pre_tokenizer") or {}
@@ -213,6 +218,7 @@ class PieceEncoder:
         self._heads: dict[str, np.ndarray] = {}
         self._later = _Numbers(0)
         self._flat, self._start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self._ambiguous = np.zeros(0, bool)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -221,7 +227,12 @@ class PieceEncoder:
         new, self._later.new = self._later.new, []
         if not new:
             return
-        ids = self._whole([" " + " ".join(new)])[0]
+        # An empty piece, or one that begins with a blank, means two blanks in a row or one at the end.
+        odd = np.fromiter((not p or p[0].isspace() for p in new), bool, len(new))
+        self._ambiguous = np.concatenate([self._ambiguous, odd])
+        if odd.any():
+            new = ["x" if o else p for p, o in zip(new, odd, strict=True)]
+        ids = np.concatenate(self._whole([" " + " ".join(new[k : k + _TOGETHER]) for k in range(0, len(new), _TOGETHER)]))
         starts = np.flatnonzero(self._spaced[ids])
         if len(starts) != len(new) or starts[0] != 0:
             own = self._whole([" " + p for p in new])
@@ -236,7 +247,7 @@ class PieceEncoder:
         odd, heads, index, counts, plain = [], [], [], [], []
         number = self._later.__getitem__
         for i, text in enumerate(texts):
-            if not self._by_piece or _AMBIGUOUS.search(text):
+            if not self._by_piece:
                 odd.append(i)
                 continue
             head, *pieces = text.split(" ")
@@ -244,8 +255,6 @@ class PieceEncoder:
             index.extend(map(number, pieces))
             counts.append(len(pieces))
             plain.append(i)
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
         fresh = sorted({h for h in heads if h not in self._heads})
         if len(self._heads) > _MEMORY_ENTRIES:
             self._heads.clear()
@@ -257,8 +266,15 @@ class PieceEncoder:
         ends = np.cumsum(lengths)
         flat = self._flat[np.repeat(self._start[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
         cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
+        doubt = np.flatnonzero(self._ambiguous[at])
+        doubtful = set(np.searchsorted(np.cumsum(counts), doubt, side="right").tolist())
         for k, i in enumerate(plain):
-            out[i] = np.concatenate([self._heads[heads[k]], flat[cuts[k] : cuts[k + 1]]])
+            if k in doubtful:
+                odd.append(i)
+            else:
+                out[i] = np.concatenate([self._heads[heads[k]], flat[cuts[k] : cuts[k + 1]]])
+        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
+            out[i] = ids
         return out
 
 
