@@ -278,6 +278,9 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     identity = ["set_a", "set_b", "n_shingles"]
     classes = full.groupBy(*identity).agg(F.min("doc_id").alias("class_id"))
     member = scratch.keep(full.select("doc_id", *identity).join(classes, identity).select("doc_id", "class_id").distinct(), "members")
+    # An id whose rows have different sets ties their classes.
+    first = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+    tied = member.withColumnRenamed("class_id", "b").join(first, "doc_id").where("b <> class_id").select(F.col("class_id").alias("a"), "b").distinct()
     heads = member.where(F.col("doc_id") == F.col("class_id")).select("doc_id")
     heads = scratch.keep(full.join(heads, "doc_id", "left_semi").select("doc_id", "n_shingles", "codes", "keys"), "heads")
     keyed = heads.select(F.posexplode("keys").alias("slot", "key"), "doc_id")
@@ -286,7 +289,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     alike = touched.select("doc_id").distinct()
     sets = scratch.keep(docs.join(alike, "doc_id", "left_semi").mapInArrow(_full_sets, "doc_id long, shingles array<long>"), "sets")
 
-    tested = links = found = None
+    tested = found = None
+    links = tied = scratch.keep(tied, "tied")
     for k in range(STAR_ROUNDS + 1):
         placed = touched.withColumn("component", F.col("doc_id"))
         if found is not None:
@@ -299,13 +303,13 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         else:
             new = _rest(placed, heads, sets)
         new = scratch.keep(new, f"links-{k}")
-        links = new if links is None else links.unionByName(new)
+        links = links.unionByName(new)
         found = components(links, scratch, f"components-{k}")
     scratch.drop("heads", "touched", "sets", *(f"pairs-{k}" for k in range(STAR_ROUNDS)), *(f"links-{k}" for k in range(STAR_ROUNDS + 1)))
 
     result = (
         signed_docs.select("doc_id", "n_shingles")
-        .join(member, "doc_id", "left")
+        .join(first, "doc_id", "left")
         .join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
     )
