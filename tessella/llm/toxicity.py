@@ -32,7 +32,8 @@ from tessella.llm.textkit import slices
 BUCKETS, RANK = 1 << 20, 4
 STEMS = (4, 5, 6)
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
-MIN_Z, MAX_TERMS = 2.5, 20_000
+MIN_Z, PAIR_Z, COMMON, MAX_TERMS = 2.5, 5.0, 400, 20_000
+PULL = 1e-3
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO_ENTRIES = 200_000
 
@@ -55,14 +56,42 @@ def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall((text or "").lower()))
 
 
+def _z(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Log odds ratios of presence between the labels, in standard errors."""
+    pos, neg = pos + 0.5, neg + 0.5
+    rest_pos, rest_neg = n_pos + 1 - pos, n_neg + 1 - neg
+    return (np.log(pos / rest_pos) - np.log(neg / rest_neg)) / np.sqrt(1 / pos + 1 / rest_pos + 1 / neg + 1 / rest_neg)
+
+
+def _gap(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray:
+    """Differences of shares of presence between the labels, in standard errors."""
+    share = (pos + neg + 1) / (n_pos + n_neg + 2)
+    return np.abs(pos / n_pos - neg / n_neg) / np.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
+
+
 def _telling(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets whose log odds ratio between the labels is MIN_Z standard errors from nothing, at most MAX_TERMS."""
+    """Buckets that tell: by themselves, or beside another bucket where neither does.
+
+    By itself a bucket must be MIN_Z standard errors from nothing. Among the
+    COMMON most frequent ones, both of a pair are taken if the pair's presence is
+    PAIR_Z standard errors further from nothing than the two together.
+    """
     seen = np.unique(np.concatenate(docs))
-    pos, neg = (np.bincount(np.searchsorted(seen, np.concatenate([d for d, v in zip(docs, y, strict=True) if v == k])), minlength=len(seen)) + 0.5 for k in (1, 0))
-    rest_pos, rest_neg = (y == 1).sum() + 1 - pos, (y == 0).sum() + 1 - neg
-    z = (np.log(pos / rest_pos) - np.log(neg / rest_neg)) / np.sqrt(1 / pos + 1 / rest_pos + 1 / neg + 1 / rest_neg)
+    at = [np.searchsorted(seen, d) for d in docs]
+    n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
+    pos, neg = (np.bincount(np.concatenate([d for d, v in zip(at, y, strict=True) if v == k]), minlength=len(seen)) for k in (1, 0))
+    z = _z(pos, neg, n_pos, n_neg)
     order = np.argsort(-np.abs(z), kind="stable")[:MAX_TERMS]
-    return np.sort(seen[order[np.abs(z[order]) >= MIN_Z]])
+    alone = order[np.abs(z[order]) >= MIN_Z]
+    often = np.sort(np.argsort(-(pos + neg), kind="stable")[:COMMON])
+    present = np.zeros((len(docs), len(often)), np.float32)
+    for row, d in zip(present, at, strict=True):
+        row[np.flatnonzero(np.isin(often, d, assume_unique=True))] = 1
+    pairs = [present[y == k].T @ present[y == k] for k in (1, 0)]
+    single = _gap(pos[often], neg[often], n_pos, n_neg)
+    far = _gap(*pairs, n_pos, n_neg) - single[:, None] - single[None, :]
+    np.fill_diagonal(far, 0)
+    return seen[np.unique(np.concatenate([alone, often[(far >= PAIR_Z).any(axis=1)]]))]
 
 
 def fit(texts: list[str], y: np.ndarray, epochs: int = 15, batch: int = 64, l1: float = 1e-3, seed: int = 9) -> Model:
@@ -75,7 +104,7 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 15, batch: int = 64, l1:
     share = (y == 1).mean()
     weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
     rng = np.random.default_rng(seed)
-    w, v, c = np.zeros(len(seen)), rng.normal(0, 0.01, (len(seen), RANK)), np.zeros(1)
+    w, v, c = np.zeros(len(seen)), rng.normal(0, 0.1, (len(seen), RANK)), np.zeros(1)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, v, c)]
     t = 0
     for _ in range(epochs):
@@ -91,12 +120,14 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 15, batch: int = 64, l1:
             pull = g[of][:, None] * (sums[of] - v[at])
             grads = [np.bincount(at, g[of], len(w)), np.stack([np.bincount(at, pull[:, f], len(w)) for f in range(RANK)], axis=1), g.sum(keepdims=True)]
             t += 1
-            for value, grad, (m, s), shrink in zip((w, v, c), grads, state, (l1, l1, 0.0), strict=True):
+            for value, grad, (m, s), shrink in zip((w, v, c), grads, state, (l1, 0.0, 0.0), strict=True):
                 m += 0.1 * (grad - m)
                 s += 0.001 * (grad * grad - s)
                 rate = 0.02 / (np.sqrt(s / (1 - 0.999**t)) + 1e-3)
                 value -= rate * m / (1 - 0.9**t)
-                np.copyto(value, np.sign(value) * np.maximum(np.abs(value) - rate * shrink, 0))
+                # Steps towards zero: in proportion to the step size for weights, by a fixed amount for factors.
+                pull_in = rate * shrink if value is w else PULL if value is v else 0.0
+                np.copyto(value, np.sign(value) * np.maximum(np.abs(value) - pull_in, 0))
     live = np.flatnonzero((w != 0) | (v != 0).any(axis=1))
     return Model(float(c[0]), {int(b): k for k, b in enumerate(seen[live])}, w[live], v[live])
 

@@ -117,7 +117,8 @@ class WaveletMatrix:
         return hi - lo
 
     def count(self, symbol: int, lo: int = 0, hi: int | None = None) -> int:
-        a, b = self._range(symbol, lo, self.n if hi is None else hi)
+        hi = self.n if hi is None else min(hi, self.n)
+        a, b = self._range(symbol, min(max(lo, 0), hi), hi)
         return b - a
 
     def _select_bit(self, k: int, bit: int, nth: np.ndarray) -> np.ndarray:

@@ -76,11 +76,10 @@ def test_toxicity_learns_pairs_that_add_nothing_alone():
         rng.shuffle(words)
         texts.append(" ".join(words))
         y.append(int(insult == group))  # no single word tells
-    model = toxicity.fit(texts[:1200], np.array(y[:1200]), epochs=60)
-    assert toxicity.fit.__doc__
+    model = toxicity.fit(texts[:1200], np.array(y[:1200]))
     score = toxicity.Scorer(model)
     right = np.mean([(score(t) > 0.5) == bool(v) for t, v in zip(texts[1200:], y[1200:], strict=True)])
-    assert np.isfinite(right)
+    assert right > 0.95
 
 
 def toxic_rows(n=500):
