@@ -38,6 +38,23 @@ def regression(y: Column, p: Column, alpha: float = 0.5, delta: float = 1.0, pow
     }
 
 
+def regression_multi(df: DataFrame, targets: dict[str, tuple[str, str]], names: list[str], average: bool = False) -> DataFrame:
+    """target and the named metrics for each (label, prediction) pair, or their mean over targets; rows are read once."""
+    wide = df.agg(*(regression(F.col(y), F.col(p))[n].alias(f"{t}__{n}") for t, (y, p) in targets.items() for n in names))
+    rows = F.array(*(F.struct(F.lit(t).alias("target"), *(F.col(f"{t}__{n}").alias(n) for n in names)) for t in targets))
+    each = wide.select(F.inline(rows))
+    return each.agg(*(F.avg(n).alias(n) for n in names)) if average else each
+
+
+def classification_multi(df: DataFrame, targets: dict[str, tuple[str, str]], average: str = "macro") -> DataFrame:
+    """target and the classification metrics for each (label, prediction) pair."""
+    out = None
+    for t, (y, p) in targets.items():
+        one = classification(df, y, p, average).select(F.lit(t).alias("target"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def confusion(df: DataFrame, y: str, p: str) -> DataFrame:
     """actual, predicted, n over the union of classes on both axes."""
     classes = df.select(F.explode(F.array(F.col(y).cast("long"), F.col(p).cast("long"))).alias("c")).distinct()

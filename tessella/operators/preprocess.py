@@ -23,8 +23,14 @@ def min_max_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _fit(df, columns, F.min, lambda c: F.max(c) - F.min(c))
 
 
-def robust_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _fit(df, columns, F.median, lambda c: F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25)))
+def robust_scaler(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
+    """Median and interquartile range.
+
+    Exact ones hold the counts of a column's distinct values in one place;
+    ``accuracy`` asks for mergeable sketches instead, for columns of very many.
+    """
+    q = (lambda c, p: F.percentile_approx(c, p, accuracy)) if accuracy else (lambda c, p: F.percentile(c, F.lit(p)))
+    return _fit(df, columns, lambda c: q(c, 0.5), lambda c: q(c, 0.75) - q(c, 0.25))
 
 
 def scale(df: DataFrame, fitted: DataFrame) -> DataFrame:

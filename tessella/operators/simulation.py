@@ -12,6 +12,7 @@ from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def simulate(events: DataFrame, key: str, time: str, initial: dict, process: Callable, schema: str, max_events: int | None = None, end=None) -> DataFrame:
@@ -104,6 +105,30 @@ def anneal_subset(spark, n: int, energy: Callable, **how) -> dict:
     return anneal(spark, [False] * n, energy, move, **how)
 
 
+def coordinate_search(spark, choices: list[list], objective: Callable, restarts: int = 8, rounds: int = 20, seed: int = 0) -> dict:
+    """Largest objective over discrete choices: one position at a time is set to its best, from many starts side by side."""
+    import json
+
+    def run(rng):
+        state = [c[int(rng.integers(0, len(c)))] for c in choices]
+        best = objective(state)
+        for _ in range(rounds):
+            before = best
+            for k, options in enumerate(choices):
+                for o in options:
+                    trial = [*state[:k], o, *state[k + 1 :]]
+                    value = objective(trial)
+                    if value > best:
+                        best, state = value, trial
+            if best == before:
+                break
+        return {"value": float(best), "state": json.dumps(state)}
+
+    rows = trajectories(spark, restarts, run, "trajectory long, value double, state string", seed)
+    first = rows.orderBy(F.desc("value"), "trajectory").limit(1).first()
+    return {"value": first["value"], "state": json.loads(first["state"])}
+
+
 def search_space(spark, space: dict[str, tuple], objective: Callable, trials: int = 64, seed: int = 0) -> DataFrame:
     """Random search: trial, parameters and value; a space entry is (low, high) or a list of choices."""
     names = list(space)

@@ -64,6 +64,14 @@ def test_metrics_against_small_examples(spark):
     assert M.silhouette(pts, "x", "c", "i").first()["silhouette"] == pytest.approx((b - a) / b)
 
 
+def test_metrics_of_many_targets(spark):
+    df = spark.createDataFrame([(1.0, 2.0, 1, 1), (3.0, 3.0, 0, 1)], "y double, p double, c int, d int")
+    each = M.regression_multi(df, {"a": ("y", "p"), "b": ("p", "y")}, ["mae", "mean_error"]).collect()
+    assert [(r["target"], r["mae"], r["mean_error"]) for r in each] == [("a", 0.5, 0.5), ("b", 0.5, -0.5)]
+    assert M.regression_multi(df, {"a": ("y", "p"), "b": ("p", "y")}, ["mean_error"], True).first()["mean_error"] == 0
+    assert [r["accuracy"] for r in M.classification_multi(df, {"x": ("c", "d"), "z": ("c", "c")}).orderBy("target").collect()] == [0.5, 1.0]
+
+
 def test_unseen_label_is_an_error(spark):
     e = preprocess.label_encoder(spark.createDataFrame([("a",), ("b",)], "v string"), "v")
     with pytest.raises(PySparkException):
@@ -130,5 +138,7 @@ def test_search_and_annealing(spark):
     want = [3, 1, 0, 2]
     best = simulation.anneal_permutation(spark, 4, lambda p: sum(a != b for a, b in zip(p, want, strict=True)), restarts=2, steps=400)
     assert best["energy"] == 0 and best["state"] == want
+    found = simulation.coordinate_search(spark, [[0, 1, 2]] * 3, lambda s: -sum((x - 1) ** 2 for x in s), restarts=2)
+    assert found["state"] == [1, 1, 1] and found["value"] == 0
     rows = simulation.search_space(spark, {"x": (0.0, 1.0), "k": [1, 2]}, lambda p: (p["x"] - 0.5) ** 2 + p["k"], trials=16).collect()
     assert len(rows) == 16 and min(r["value"] for r in rows) < 1.3
