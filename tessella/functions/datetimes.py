@@ -86,6 +86,7 @@ TOKENS = {
     "D": "d",
     "dddd": "EEEE",
     "ddd": "EEE",
+    "dd": "EEE",
     "HH": "HH",
     "H": "H",
     "hh": "hh",
@@ -96,26 +97,40 @@ TOKENS = {
     "s": "s",
     "SSS": "SSS",
     "A": "a",
+    "a": "a",
 }
 _TOKEN = re.compile("|".join(sorted(TOKENS, key=len, reverse=True)) + r"|\\(.)|(.)", re.S)
 
 
+def _parts(tokens: str) -> list[tuple[str, bool]]:
+    """Tokens and, marked, other characters, which stand for themselves; a backslash makes the next character one of them."""
+    return [(m[1] or m[2], True) if (m[1] or m[2]) else (m[0], False) for m in _TOKEN.finditer(tokens)]
+
+
 def spark_pattern(tokens: str) -> str:
-    """A format of tokens, other characters standing for themselves, as a Spark pattern."""
-    out = []
-    for m in _TOKEN.finditer(tokens):
-        text = m[1] or m[2]
-        if text is None:
-            out.append(TOKENS[m[0]])
-        elif text.isalpha():
-            out.append(f"'{text}'")
-        else:
-            out.append("''" if text == "'" else text)
-    return "".join(out).replace("''", "\0").replace("'" + "'", "").replace("\0", "''")
+    """A format of tokens as a Spark pattern, for parsing."""
+    out, plain = [], ""
+    for text, literal in [*_parts(tokens), ("", False)]:
+        if literal:
+            plain += text.replace("'", "''")
+            continue
+        if plain:
+            out.append(f"'{plain}'" if any(c.isalpha() for c in plain) else plain)
+            plain = ""
+        out.append(TOKENS.get(text, ""))
+    return "".join(out)
 
 
 def print_format(t: Column, tokens: str) -> Column:
-    return F.date_format(t, spark_pattern(tokens))
+    """A timestamp by format tokens; dd is a weekday's first two letters, a is am or pm."""
+    parts = []
+    for text, literal in _parts(tokens):
+        if literal:
+            parts.append(F.lit(text))
+            continue
+        shown = F.date_format(t, TOKENS[text])
+        parts.append(F.substring(shown, 1, 2) if text == "dd" else F.lower(shown) if text == "a" else shown)
+    return F.concat(*parts) if parts else F.lit("")
 
 
 def parse_format(s: Column, tokens: str) -> Column:

@@ -125,6 +125,7 @@ def test_blobs_and_paths(spark):
 def test_datetimes(spark):
     t = F.lit("2024-02-29 13:05:09.250").cast("timestamp")
     assert one(spark, datetimes.print_format(t, "dddd D MMM YYYY, h:mm A")) == "Thursday 29 Feb 2024, 1:05 PM"
+    assert one(spark, datetimes.print_format(t, r"dd [\at] a")) == "Th [at] pm"
     assert one(spark, datetimes.millisecond(t)) == 250
     assert one(spark, datetimes.duration_milliseconds(datetimes.add_milliseconds(t, -1001), t)) == -1001
     assert one(spark, datetimes.time_zone_offset(t, "America/New_York")) == -300
@@ -162,3 +163,24 @@ def test_random_distributions(spark):
     row = spark.range(n).select(*(c.alias(k) for k, (c, _) in draws.items())).agg(*(F.avg(k).alias(k) for k in draws), *(F.stddev(k).alias(f"{k}_sd") for k in draws)).first()
     for k, (_, mean) in draws.items():
         assert abs(row[k] - mean) < 5 * row[f"{k}_sd"] / math.sqrt(n) + 1e-9, k
+
+
+def test_text_form(spark):
+    import datetime as dt
+
+    from pyspark.sql import types as T
+
+    from tessella.functions import text_form as tf
+
+    kind = T.StructType([T.StructField("a", T.LongType()), T.StructField("s", T.StringType()), T.StructField("x", T.ArrayType(T.DoubleType())), T.StructField("m", T.MapType(T.StringType(), T.BooleanType())), T.StructField("b", T.BinaryType()), T.StructField("t", T.TimestampType())])
+    row = (1, 'q"\\\n', [1.0, 0.5, float("nan"), float("-inf"), 1e22, 1e-7, 123456789.0, 0.001, -0.0], {"z": True, "b": None}, bytearray(b"\x0a"), dt.datetime(2024, 1, 2, 3, 4, 5, 6000))
+    df = spark.createDataFrame([(row,)], T.StructType([T.StructField("r", kind)]))
+    want = '(a=1, s="q\\"\\\\\n", x=[1.0, 0.5, NaN, -Infinity, 1e+22, 1e-07, 123456789.0, 0.001, -0.0], m={"b":null,"z":true}, b=0x0a, t=2024-01-02T03:04:05.006)'
+    assert df.select(tf.print_value(F.col("r"), kind).alias("t")).first()["t"] == want
+    for text, k, value in (('"a\\"b\\\\"', T.StringType(), 'a"b\\'), ("-12", T.LongType(), -12), ("1e3", T.DoubleType(), 1000.0), ("0xff", T.BinaryType(), bytearray(b"\xff")), ("null", T.LongType(), None), ("true", T.BooleanType(), True), ("2024-01-02T03:04:05.006", T.TimestampType(), dt.datetime(2024, 1, 2, 3, 4, 5, 6000))):
+        assert one(spark, tf.parse_scalar(F.lit(text), k)) == value
+    for text, k in (('"a', T.StringType()), ("1.5", T.LongType()), ("yes", T.BooleanType()), ("2024", T.TimestampType())):
+        fails(spark, tf.parse_scalar(F.lit(text), k))
+    assert one(spark, tf.print_set(ints(1, 2), T.LongType())) == "{1,2}"
+    assert one(spark, tf.print_dict(dicts.entries(ints(1), lambda k: k), T.LongType(), T.LongType())) == "{1:1}"
+    assert one(spark, tf.print_variant(F.struct(F.lit("none").alias("tag"), F.lit(None).cast("long").alias("some")), {"some": T.LongType()})) == ".none"
