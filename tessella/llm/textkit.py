@@ -34,7 +34,7 @@ def _byte_codes() -> np.ndarray:
 _powers: dict[int, np.ndarray] = {}
 
 
-def _power_table(base: int, n: int) -> np.ndarray:
+def power_table(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
         steps = np.full(max(n, SLICE_BYTES + SLICE_BYTES // 4), base, dtype=np.uint64)
@@ -71,8 +71,8 @@ def words_of(texts: list[bytes]) -> Words:
     edge = np.flatnonzero(np.diff(blank, prepend=True))
     starts, ends = edge[0::2], edge[1::2]
     sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_byte_codes()[buf] * _power_table(_BASE, len(buf)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * _power_table(_BASE_INVERSE, len(buf))[starts])
+    np.cumsum(_byte_codes()[buf] * power_table(_BASE, len(buf)), out=sums[1:])
+    hashes = mix((sums[ends] - sums[starts]) * power_table(_BASE_INVERSE, len(buf))[starts])
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     text_starts = np.concatenate([[0], np.cumsum(lengths + 1)])
     return Words(data, starts, ends, hashes, np.searchsorted(starts, text_starts), text_starts)

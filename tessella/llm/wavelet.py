@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.textkit import slices
+from tessella.llm.textkit import mix, power_table, slices
 
 SHARD_TOKENS = 1 << 18
 END_ID = 0
@@ -168,21 +168,54 @@ def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix
     return doc_ids, lengths, WaveletMatrix.from_bytes(memoryview(data)[at + 17 * docs :], width, n)
 
 
-_MEMORY_ENTRIES, _TOGETHER = 1_000_000, 2048
+_MEMORY_ENTRIES, _TOGETHER = 2_000_000, 2048
 _encoders: dict[str, PieceEncoder] = {}
+_HASH_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_CODES = [np.random.default_rng(k).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (71, 72)]
+_HEAD = np.uint64(0xD6E8FEB86659FD93)
+
+
+class _Table:
+    """Numbers of 64-bit keys by open addressing, looked up many at a time."""
+
+    def __init__(self, bits: int = 16):
+        self.bits, self.size = bits, 0
+        self.keys = np.zeros(1 << bits, np.uint64)
+        self.numbers = np.full(1 << bits, -1, np.int32)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none."""
+        mask = np.uint64(len(self.keys) - 1)
+        at = keys & mask
+        out = np.where(self.keys[at] == keys, self.numbers[at], -1)
+        todo = np.flatnonzero((out < 0) & (self.numbers[at] >= 0))
+        while len(todo):
+            at[todo] = (at[todo] + np.uint64(1)) & mask
+            spot = at[todo]
+            same = self.keys[spot] == keys[todo]
+            out[todo[same]] = self.numbers[spot[same]]
+            todo = todo[~same & (self.numbers[spot] >= 0)]
+        return out
 
-
-class _Numbers(dict):
-    """Numbers pieces as they first come, and keeps the new ones in order."""
-
-    def __init__(self, first: int):
-        self.next, self.new = first, []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = k = self.next
-        self.next += 1
-        self.new.append(piece)
-        return k
+    def add(self, keys: np.ndarray) -> None:
+        """Number new, distinct keys in their order."""
+        if 2 * (self.size + len(keys)) > len(self.keys):
+            old = self.keys[self.numbers >= 0][np.argsort(self.numbers[self.numbers >= 0])]
+            bits = int(4 * (self.size + len(keys))).bit_length()
+            self.__init__(bits)
+            self.add(old)
+        mask, numbers = np.uint64(len(self.keys) - 1), np.arange(self.size, self.size + len(keys), dtype=np.int32)
+        at, todo = keys & mask, np.arange(len(keys))
+        while len(todo):
+            free = todo[self.numbers[at[todo]] < 0]
+            spot, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.keys[spot], self.numbers[spot] = keys[won], numbers[won]
+            left = np.ones(len(keys), bool)
+            left[won] = False
+            todo = todo[left[todo]]
+            at[todo] = (at[todo] + np.uint64(1)) & mask
+        self.size += len(keys)
 
 
 class PieceEncoder:
@@ -190,9 +223,11 @@ class PieceEncoder:
 
     Byte-level pre-tokenisation always cuts before a space that a non-space
     follows, so a text's ids are those of its pieces, each with the space before
-    it, joined. New pieces are encoded together in one text; a piece's ids begin
-    where a token begins with a space. Texts in which a space is followed by
-    another blank or ends the text, and all texts under other kinds of tokenizer,
+    it, joined. Pieces are known by two independent 64-bit hashes; one that meets
+    another's first hash is noticed by the second. New pieces are encoded together
+    in one text, where a piece's ids begin at a token that begins with a space.
+    Texts in which a space is followed by another blank or ends the text, those
+    with a piece that was so noticed, and all texts under other kinds of tokenizer
     are encoded whole. The memory only saves time; it is emptied when full.
     """
 
@@ -216,66 +251,82 @@ class PieceEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self._heads: dict[str, np.ndarray] = {}
-        self._later = _Numbers(0)
+        self._table = _Table()
+        self._second = np.zeros(0, np.uint64)
         self._flat, self._start = np.zeros(0, np.uint32), np.zeros(1, np.int64)
-        self._ambiguous = np.zeros(0, bool)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        new, self._later.new = self._later.new, []
-        if not new:
-            return
-        # An empty piece, or one that begins with a blank, means two blanks in a row or one at the end.
-        odd = np.fromiter((not p or p[0].isspace() for p in new), bool, len(new))
-        self._ambiguous = np.concatenate([self._ambiguous, odd])
-        if odd.any():
-            new = ["x" if o else p for p, o in zip(new, odd, strict=True)]
-        ids = np.concatenate(self._whole([" " + " ".join(new[k : k + _TOGETHER]) for k in range(0, len(new), _TOGETHER)]))
+    def _later(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces with a space before each, end to end, and where each begins."""
+        if not pieces:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids = np.concatenate(self._whole([" " + " ".join(pieces[k : k + _TOGETHER]) for k in range(0, len(pieces), _TOGETHER)]))
         starts = np.flatnonzero(self._spaced[ids])
-        if len(starts) != len(new) or starts[0] != 0:
-            own = self._whole([" " + p for p in new])
-            ids, starts = np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])
-        self._start = np.concatenate([self._start, len(self._flat) + np.append(starts[1:], len(ids))])
-        self._flat = np.concatenate([self._flat, ids])
+        if len(starts) == len(pieces) and starts[0] == 0:
+            return ids, starts
+        own = self._whole([" " + p for p in pieces])
+        return np.concatenate(own), np.cumsum([0, *map(len, own[:-1])])
+
+    def _learn(self, keys: np.ndarray, second: np.ndarray, pieces: list[str], heads: np.ndarray) -> None:
+        order = np.argsort(heads, kind="stable")  # later pieces first, then heads
+        n = int((~heads).sum())
+        ids, starts = self._later([pieces[k] for k in order[:n]])
+        own = self._whole([pieces[k] for k in order[n:]])
+        lengths = np.concatenate([np.diff(np.append(starts, len(ids))), np.array([len(x) for x in own], np.int64)])
+        self._flat = np.concatenate([self._flat, ids, *own])
+        self._start = np.concatenate([self._start, self._start[-1] + np.cumsum(lengths)])
+        self._second = np.concatenate([self._second, second[order]])
+        self._table.add(keys[order])
+
+    def _pieces(self, texts: list[bytes]):
+        """Spans of all pieces, their two hashes, which are heads, which are ambiguous, and pieces per text."""
+        data = b" ".join(texts) + b"   "  # so that two bytes can be read beyond any piece
+        buf = np.frombuffer(data, np.uint8)
+        n = len(buf) - 2
+        ends = np.flatnonzero(buf[:n] == 0x20)
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        hashes = []
+        for codes, base in zip(_CODES, _HASH_BASES, strict=True):
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(codes[buf[:n]] * power_table(base, n), out=sums[1:])
+            hashes.append(mix((sums[ends] - sums[starts]) * power_table(pow(base, -1, 1 << 64), n)[starts]))
+        text_starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
+        heads = np.zeros(len(ends), bool)
+        first = np.searchsorted(starts, text_starts)
+        heads[first] = True
+        hashes[0][heads] ^= _HEAD
+        a, b, c = buf[starts], buf[starts + 1], buf[starts + 2]
+        blank = (a == 0x20) | ((a >= 0x09) & (a <= 0x0D)) | ((a >= 0x1C) & (a <= 0x1F))
+        blank |= (a == 0xC2) & ((b == 0x85) | (b == 0xA0)) | (a == 0xE1) & (b == 0x9A) | (a == 0xE2) & ((b == 0x80) | (b == 0x81)) | (a == 0xE3) & (b == 0x80) & (c == 0x80)
+        return data, starts, ends, hashes[0], hashes[1], heads, blank & ~heads, np.diff(np.append(first, len(ends)))
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self._later) > _MEMORY_ENTRIES:
+        if not texts:
+            return []
+        if not self._by_piece:
+            return self._whole(texts)
+        if self._table.size > _MEMORY_ENTRIES:
             self._clear()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        odd, heads, index, counts, plain = [], [], [], [], []
-        number = self._later.__getitem__
-        for i, text in enumerate(texts):
-            if not self._by_piece:
-                odd.append(i)
-                continue
-            head, *pieces = text.split(" ")
-            heads.append(head)
-            index.extend(map(number, pieces))
-            counts.append(len(pieces))
-            plain.append(i)
-        fresh = sorted({h for h in heads if h not in self._heads})
-        if len(self._heads) > _MEMORY_ENTRIES:
-            self._heads.clear()
-            fresh = sorted(set(heads))
-        self._heads.update(zip(fresh, self._whole(fresh), strict=True))
-        self._learn()
-        at = np.array(index, np.int64)
+        data, starts, ends, one, two, heads, odd, counts = self._pieces([t.encode() for t in texts])
+        at = self._table.find(one)
+        new = np.flatnonzero((at < 0) & ~odd)
+        if len(new):
+            keys, first = np.unique(one[new], return_index=True)
+            spots = new[first]
+            self._learn(keys, two[spots], [data[starts[k] : ends[k]].decode() for k in spots.tolist()], heads[spots])
+            at[new] = self._table.find(one[new])
+        odd |= (at < 0) | (self._second[at] != two)
+        at[odd] = 0
         lengths = self._start[at + 1] - self._start[at]
-        ends = np.cumsum(lengths)
-        flat = self._flat[np.repeat(self._start[at] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-        doubt = np.flatnonzero(self._ambiguous[at])
-        doubtful = set(np.searchsorted(np.cumsum(counts), doubt, side="right").tolist())
-        for k, i in enumerate(plain):
-            if k in doubtful:
-                odd.append(i)
-            else:
-                out[i] = np.concatenate([self._heads[heads[k]], flat[cuts[k] : cuts[k + 1]]])
-        for i, ids in zip(odd, self._whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
+        upto = np.cumsum(lengths)
+        flat = self._flat[np.repeat(self._start[at] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        last = np.cumsum(counts)
+        out = np.split(flat, upto[last[:-1] - 1])
+        again = np.unique(np.searchsorted(last, np.flatnonzero(odd), side="right")).tolist()
+        for k, ids in zip(again, self._whole([texts[k] for k in again]), strict=True):
+            out[k] = ids
         return out
 
 
