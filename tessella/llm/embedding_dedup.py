@@ -28,6 +28,7 @@ from tessella.llm.scratch import Scratch
 
 THRESHOLD = 0.9
 CHUNK = 2048
+MAX_SLABS = 4096  # beyond it a slab has several chunks, which all meet
 STRIP = 256
 _NEAR = 1e-9
 
@@ -218,10 +219,10 @@ def near_duplicate_vectors(embeddings: DataFrame, threshold: float = THRESHOLD)
     counts = {r["dim"]: r["n"] for r in placed.groupBy("dim").agg(F.count("*").alias("n")).collect()}
     cuts: dict[int, list[float]] = {}
     for d, n in counts.items():
-        slabs = max(1, -(-n // CHUNK))
+        slabs = min(MAX_SLABS, max(1, -(-n // CHUNK)))
         cuts[d] = sorted(set(placed.where(F.col("dim") == d).approxQuantile("lead", [k / slabs for k in range(1, slabs)], min(0.01, 0.2 / slabs)))) if slabs > 1 else []
     cut_rows = [(d, [float("-inf"), *c]) for d, c in cuts.items()]
-    borders = F.broadcast(spark.createDataFrame(cut_rows, "dim long, cuts array<double>"))  # a number per CHUNK vectors
+    borders = F.broadcast(spark.createDataFrame(cut_rows, "dim long, cuts array<double>"))  # at most MAX_SLABS numbers per length
     slab = F.size(F.filter("cuts", lambda c: c <= F.col("lead"))).cast("long") - 1
     sorted_rows = placed.join(borders, "dim").select("dim", slab.alias("slab"), F.col("class_id").alias("id"), F.col("copies").alias("size"), "embedding")
     chunks = scratch.keep(
