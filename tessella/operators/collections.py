@@ -12,6 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import stable
+
 INDEX = "__ix"
 
 
@@ -19,10 +21,11 @@ def with_index(df: DataFrame, *order: Column | str) -> DataFrame:
     """Number rows 0, 1, .. in the given order without gathering them in one task.
 
     Rows are range-partitioned by the order, counted per partition, and numbered
-    within each; only one count per partition is summed over.
+    within each; only one count per partition is summed over. Range borders come
+    from a sample, so the partitions are computed once and kept.
     """
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__ix_part", F.spark_partition_id())
-    numbered = ranged.withColumn("__ix_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    numbered = stable(ranged.withColumn("__ix_in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))))
     counts = numbered.groupBy("__ix_part").agg(F.count("*").alias("__ix_n"))
     before = Window.orderBy("__ix_part").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("__ix_part", F.coalesce(F.sum("__ix_n").over(before), F.lit(0)).alias("__ix_start"))

@@ -27,6 +27,17 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+def stable(df: DataFrame) -> DataFrame:
+    """The frame, computed once: what reads it twice sees the same rows in the same partitions.
+
+    It is written to the shared folder in ``spark.checkpoint.dir``, which a cluster
+    must name; where that is unset, as in local use, it is kept by the executors.
+    """
+    if df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df.checkpoint()
+    return df.persist()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the supplied tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
