@@ -158,17 +158,26 @@ def kde(df: DataFrame, x: str, points: list[float], bandwidth: str | float = "sc
     return weighted.groupBy("point").agg((F.sum(kernel) / (s["w"] * h * math.sqrt(2 * math.pi))).alias("density"))
 
 
-def interpolate(points: DataFrame, knots: DataFrame, x: str, y: str) -> DataFrame:
+def interpolate(points: DataFrame, knots: DataFrame, x: str, y: str, bins: int = 256) -> DataFrame:
     """Linear interpolation of y at points.x from knots (x, y); null outside them.
 
-    The line of knots is carried forward and backward along one ordered time line
-    per range of x, as in an as-of join; use a key column for many lines.
+    The line is cut into bins at quantiles of the knots. Within a bin knots are
+    carried forward and backward along one order; the nearest knots of other bins
+    come from a table of one row per bin.
     """
-    spots = points.select(F.col(x), F.lit(None).cast("struct<x:double,y:double>").alias("k"), F.lit(True).alias("ask"))
-    marks = knots.select(F.col(x), F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).alias("k"), F.lit(False).alias("ask"))
-    both = spots.unionByName(marks)
-    back = Window.orderBy(x, "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ahead = Window.orderBy(x, F.desc("ask")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    held = both.withColumn("a", F.last("k", True).over(back)).withColumn("b", F.first("k", True).over(ahead)).where("ask")
+    cuts = sorted(set(knots.select(F.col(x).cast("double").alias(x)).approxQuantile(x, [k / bins for k in range(1, bins)], 0.25 / bins)))
+    bin_of = F.size(F.filter(F.array(*map(F.lit, cuts)).cast("array<double>"), lambda c: c <= F.col(x)))
+    knot = F.struct(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    spots = points.select(F.col(x), F.lit(None).cast("struct<x:double,y:double>").alias("k"), F.lit(True).alias("ask"), bin_of.alias("bin"))
+    marks = knots.select(F.col(x), knot.alias("k"), F.lit(False).alias("ask"), bin_of.alias("bin"))
+    ends = marks.groupBy("bin").agg(F.min("k").alias("first"), F.max("k").alias("last"))
+    every = knots.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("bin")).join(ends, "bin", "left")
+    before = Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.orderBy("bin").rowsBetween(1, Window.unboundedFollowing)
+    near = every.select("bin", F.last("last", True).over(before).alias("prev"), F.first("first", True).over(after).alias("next"))  # a row per bin
+    back = Window.partitionBy("bin").orderBy(x, "ask").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ahead = Window.partitionBy("bin").orderBy(x, F.desc("ask")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    carried = spots.unionByName(marks).withColumn("__a", F.last("k", True).over(back)).withColumn("__b", F.first("k", True).over(ahead)).where("ask")
+    held = carried.join(F.broadcast(near), "bin").withColumn("a", F.coalesce("__a", "prev")).withColumn("b", F.coalesce("__b", "next"))
     slope = (F.col("b.y") - F.col("a.y")) / F.nullif(F.col("b.x") - F.col("a.x"), F.lit(0.0))
     return held.select(x, F.when(F.col("a.x") == F.col("b.x"), F.col("a.y")).otherwise(F.col("a.y") + slope * (F.col(x) - F.col("a.x"))).alias(y))

@@ -141,7 +141,8 @@ def set_sym_diff_keys(spark, d):
 
 def set_subset_disjoint(spark, d):
     a, b = _keys(spark, d)
-    return C.is_subset(a, C.union(a, b)).crossJoin(C.is_disjoint(a, C.diff(b, a)))
+    # Both are single rows.
+    return C.is_subset(a, C.union(a, b)).join(F.broadcast(C.is_disjoint(a, C.diff(b, a))), F.lit(True))
 
 
 def gather_positions(spark, d):
