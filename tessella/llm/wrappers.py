@@ -63,6 +63,8 @@ _DROP_WORDS = frozenset(
     "sidebar aside footer header masthead cookie cookies consent notice notices alert popup modal newsletter subscribe subscription share "
     "sharing social related recommended comment comments reply replies respond disqus pagination pager widget toolbar login signup hidden".split()
 )
+#: Beginnings of words that mean the same, as in commentlist.
+_DROP_STARTS = ("comment", "advert", "sidebar", "sponsor", "cookie", "newsletter", "footer", "navbar", "breadcrumb", "banner", "promo", "disqus", "related")
 _MAIN_WORDS = frozenset("article content main post entry story".split())
 
 _TOKEN = re.compile(
@@ -81,6 +83,13 @@ def _marks(attributes: str) -> dict[str, str]:
     return found
 
 
+def _known(word: str) -> str | None:
+    """A class, id or role word in the form that counts, if it does."""
+    if word in _DROP_WORDS or word in _MAIN_WORDS:
+        return word
+    return next((s if s in _DROP_WORDS else "ads" for s in _DROP_STARTS if word.startswith(s)), None)
+
+
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
     """(kind, name, detail): text with its raw characters, start with a label, end. Comments and raw text vanish."""
     at, n = 0, len(page)
@@ -99,8 +108,9 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "end", name, ""
             continue
         marks = _marks(m[3])
-        words = sorted({w for k in ("class", "id", "role") for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", marks.get(k, "")).lower()) if w in _DROP_WORDS or w in _MAIN_WORDS})
-        if "hidden" in re.findall(r"[a-z-]+", re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3]).lower()):
+        named = {_known(w) for k in ("class", "id", "role") if k in marks for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", marks[k]).lower()) if w}
+        words = sorted(named - {None})
+        if "hidden" in m[3].lower() and "hidden" in re.findall(r"[a-z-]+", re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3]).lower()):
             words.append("hidden")
         yield "start", name, ".".join([name, *words])
         if name in _RAW:
@@ -234,7 +244,7 @@ def _dropped(label: str) -> bool:
         return True
     if name in ("html", "body", "main"):
         return False
-    if name == "article" and not set(words) & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "related", "recommended", "promo", "sponsored"}:
+    if name == "article" and not set(words) & {"comment", "comments", "reply", "replies", "ad", "ads", "advert", "related", "recommended", "promo", "sponsor", "sponsored"}:
         return False
     return bool(set(words) & _DROP_WORDS)
 

@@ -127,7 +127,7 @@ FULL = (
     "<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t='</p><article>no';</script></head><body><nav><ul><li><a href='/x'>menu</a></ul></nav>"
     "<div class='cookie-notice'>We use cookies</div><div class=sidebar><p>side</div><article class='post'><header><h1>Ti&amp;tle</h1></header><p><b>One\n  two<br><p>Thr&eacute;e &lt;b&gt; <i>f</i>our"
     "<div class=\"ad\">Buy!</div><ul><li>a<li>b</ul><form><input value=x><button>Go</button></form><table><tr><td>c1<td>c2</table><aside>more</aside>"
-    "<section id=\"comments\"><article class='comment'>first!</article></section></article><!-- <p>no</p> --><footer>&copy; foot</footer></body>"
+    "<section id=\"comments\"><article class='comment'>first!</article></section><ol class=commentlist><li>me too</ol><div hidden>h</div></article><!-- <p>no</p> --><footer>&copy; foot</footer></body>"
 )
 
 
