@@ -276,7 +276,8 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     signed_docs = scratch.keep(docs.mapInArrow(_sign, schema), "signatures")
     full = signed_docs.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     identity = ["set_a", "set_b", "n_shingles"]
-    classes = full.groupBy(*identity).agg(F.min("doc_id").alias("class_id"))
+    # As a table, so that a large class is split over tasks when its members look up their class.
+    classes = scratch.keep(full.groupBy(*identity).agg(F.min("doc_id").alias("class_id")), "classes")
     member = scratch.keep(full.select("doc_id", *identity).join(classes, identity).select("doc_id", "class_id").distinct(), "members")
     # An id whose rows have different sets ties their classes.
     first = member.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
@@ -305,7 +306,7 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
         new = scratch.keep(new, f"links-{k}")
         links = links.unionByName(new)
         found = components(links, scratch, f"components-{k}")
-    scratch.drop("heads", "touched", "sets", *(f"pairs-{k}" for k in range(STAR_ROUNDS)), *(f"links-{k}" for k in range(STAR_ROUNDS + 1)))
+    scratch.drop("classes", "heads", "touched", "sets", *(f"pairs-{k}" for k in range(STAR_ROUNDS)), *(f"links-{k}" for k in range(STAR_ROUNDS + 1)))
 
     result = (
         signed_docs.select("doc_id", "n_shingles")
