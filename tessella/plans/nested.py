@@ -214,9 +214,6 @@ def matrix_suite(spark, d):
     )
 
 
-_J = "array_to_string({}, ',')"
-
-
 def _j(x: str) -> str:
     return f"array_to_string({x}, ',')"
 
