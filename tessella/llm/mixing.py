@@ -110,8 +110,6 @@ def plan(
 def _first_words(batches):
     import re
 
-    import pandas as pd  # noqa: F401
-
     word = re.compile(WORD)
     for frame in batches:
         cut = []

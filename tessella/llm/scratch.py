@@ -21,7 +21,6 @@ class Scratch:
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
             root = tempfile.mkdtemp(prefix="tessella-")
-            spark.conf.set("spark.checkpoint.dir", root) if spark.conf.isModifiable("spark.checkpoint.dir") else None
         self.spark = spark
         self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
