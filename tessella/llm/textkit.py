@@ -20,7 +20,6 @@ SHINGLE_WORDS = 5
 _BLANK = np.zeros(256, dtype=bool)
 _BLANK[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
 
 
 @cache
@@ -43,6 +42,27 @@ def power_table(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, base: int) -> np.ndarray:
+    """Hashes of ascending, disjoint byte spans, from running sums over blocks of about SLICE_BYTES.
+
+    A span's hash is the sum of its bytes' codes times powers of ``base``, so it
+    doesn't depend on where it stands.
+    """
+    inverse = pow(base, -1, 1 << 64)
+    out = np.zeros(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        first = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, first + SLICE_BYTES, side="right")))
+        n = int(ends[to - 1]) - first
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes[buf[first : first + n]] * power_table(base, n), out=sums[1:])
+        lo, hi = starts[at:to] - first, ends[at:to] - first
+        out[at:to] = (sums[hi] - sums[lo]) * power_table(inverse, n + 1)[lo]
+        at = to
+    return out
+
+
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     """A 64-bit finaliser (bijective for a fixed salt)."""
     x = x + np.uint64((salt * 0x9E3779B97F4A7C15 + 0x632BE59BD9B4E019) & (2**64 - 1))
@@ -70,9 +90,7 @@ def words_of(texts: list[bytes]) -> Words:
     blank = _BLANK[buf]
     edge = np.flatnonzero(np.diff(blank, prepend=True))
     starts, ends = edge[0::2], edge[1::2]
-    sums = np.zeros(len(buf) + 1, dtype=np.uint64)
-    np.cumsum(_byte_codes()[buf] * power_table(_BASE, len(buf)), out=sums[1:])
-    hashes = mix((sums[ends] - sums[starts]) * power_table(_BASE_INVERSE, len(buf))[starts])
+    hashes = mix(span_hashes(buf, starts, ends, _byte_codes(), _BASE))
     lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
     text_starts = np.concatenate([[0], np.cumsum(lengths + 1)])
     return Words(data, starts, ends, hashes, np.searchsorted(starts, text_starts), text_starts)

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.textkit import mix, power_table, slices
+from tessella.llm.textkit import mix, slices, span_hashes
 
 SHARD_TOKENS = 1 << 18
 END_ID = 0
@@ -287,11 +287,7 @@ class PieceEncoder:
         n = len(buf) - 2
         ends = np.flatnonzero(buf[:n] == 0x20)
         starts = np.concatenate([[0], ends[:-1] + 1])
-        hashes = []
-        for codes, base in zip(_CODES, _HASH_BASES, strict=True):
-            sums = np.zeros(n + 1, np.uint64)
-            np.cumsum(codes[buf[:n]] * power_table(base, n), out=sums[1:])
-            hashes.append(mix((sums[ends] - sums[starts]) * power_table(pow(base, -1, 1 << 64), n)[starts]))
+        hashes = [mix(span_hashes(buf, starts, ends, codes, base)) for codes, base in zip(_CODES, _HASH_BASES, strict=True)]
         text_starts = np.cumsum([0, *(len(t) + 1 for t in texts[:-1])])
         heads = np.zeros(len(ends), bool)
         first = np.searchsorted(starts, text_starts)
