@@ -7,12 +7,26 @@ back as the next one's input.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import decontaminate, minhash_dedup, mixing, quality, wavelet
 from tessella.llm.queries import tokenizer_path
 from tessella.llm.scratch import Scratch
-from tessella.session import table
+from tessella.session import ship, table
+
+
+def _shipped(stage: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    """The stage, run after this package has been sent to the executors."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,11 +57,11 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
-    ("quality classifier", quality_stage),
-    ("MinHash near-dedup", near_dedup_stage),
-    ("benchmark decontamination", decontamination_stage),
-    ("mixing sources", mixing_stage),
-    ("token-ID output", token_stage),
+    ("quality classifier", _shipped(quality_stage)),
+    ("MinHash near-dedup", _shipped(near_dedup_stage)),
+    ("benchmark decontamination", _shipped(decontamination_stage)),
+    ("mixing sources", _shipped(mixing_stage)),
+    ("token-ID output", _shipped(token_stage)),
 ]
 
 #: A learned model, signatures and a tokenizer are beyond SQL.
