@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.statistics import exact_quantiles
+
 
 def _fit(df: DataFrame, columns: Sequence[str], centre, scale) -> DataFrame:
     total = df.agg(*(f(F.col(c)).alias(f"{c}__{k}") for c in columns for k, f in (("centre", centre), ("scale", scale))))
@@ -24,13 +26,15 @@ def min_max_scaler(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def robust_scaler(df: DataFrame, columns: Sequence[str], accuracy: int | None = None) -> DataFrame:
-    """Median and interquartile range.
-
-    Exact ones hold the counts of a column's distinct values in one place;
-    ``accuracy`` asks for mergeable sketches instead, for columns of very many.
-    """
-    q = (lambda c, p: F.percentile_approx(c, p, accuracy)) if accuracy else (lambda c, p: F.percentile(c, F.lit(p)))
-    return _fit(df, columns, lambda c: q(c, 0.5), lambda c: q(c, 0.75) - q(c, 0.25))
+    """Median and interquartile range, exact; ``accuracy`` asks for mergeable sketches instead."""
+    if accuracy:
+        q = lambda c, p: F.percentile_approx(c, p, accuracy)
+        return _fit(df, columns, lambda c: q(c, 0.5), lambda c: q(c, 0.75) - q(c, 0.25))
+    rows = []
+    for c in columns:
+        median, q1, q3 = exact_quantiles(df, c, [0.5, 0.25, 0.75])
+        rows.append((c, median, None if q1 is None else q3 - q1))
+    return df.sparkSession.createDataFrame(rows, "column string, centre double, scale double")
 
 
 def scale(df: DataFrame, fitted: DataFrame) -> DataFrame:

@@ -44,17 +44,64 @@ def percentile_of_score(x: Column, score: float) -> Column:
     return (below + upto + (upto > below).cast("long")) * 50.0 / F.count(x)
 
 
-def robust(df: DataFrame, x: str, approximate: int | None = None) -> DataFrame:
-    """median, iqr, mad, q1, q3 of a column; one pass for the quartiles, one for the deviations.
-
-    Exact quantiles hold the distinct values of a group; ``approximate`` is the
-    accuracy of a sketch instead, for very many distinct values.
+SMALL = 1_000_000
+
+
+def _nth(values: DataFrame, n: int, k: int, small: int, accuracy: int) -> float:
+    """The value of rank k (from 0) among n: a sketch gives bounds around it, what lies between is looked at again."""
+    below, reach = 0, 2.0
+    while n > small:
+        share = lambda d: min(1.0, max(0.0, (k - below + d * n / accuracy) / n))  # noqa: E731, B023
+        low, high = values.agg(F.percentile_approx("v", [share(-reach), share(reach)], accuracy).alias("b")).first()["b"]
+        row = values.agg(F.count_if(F.col("v") < low).alias("less"), F.count_if(F.col("v").between(low, high)).alias("inside")).first()
+        if not below + row["less"] <= k < below + row["less"] + row["inside"]:
+            reach *= 4
+            continue
+        if low == high:
+            return low
+        if row["inside"] == n:
+            # Few distinct values: their counts are small.
+            counts = values.groupBy("v").agg(F.count("*").alias("n"))
+            upto = F.sum("n").over(Window.orderBy("v"))
+            return counts.withColumn("upto", upto).where(F.col("upto") > k - below).agg(F.min("v").alias("v")).first()["v"]
+        below, n, values = below + row["less"], row["inside"], values.where(F.col("v").between(low, high))
+    return values.agg(F.get(F.array_sort(F.collect_list("v")), F.lit(k - below)).alias("v")).first()["v"]
+
+
+def exact_quantiles(df: DataFrame, x: str, points: list[float], small: int = SMALL, accuracy: int = 10_000) -> list[float | None]:
+    """Exact quantiles with linear interpolation; no task holds more than ``small`` values.
+
+    Up to ``small`` rows one aggregate gives them. Beyond, each pass over the rows
+    narrows the range that holds a quantile by a factor of about ``accuracy`` / 4.
     """
-    q = (lambda c, p: F.percentile_approx(c, p, approximate)) if approximate else (lambda c, p: F.percentile(c, F.lit(p)))
-    quartiles = df.agg(q(F.col(x), 0.5).alias("median"), q(F.col(x), 0.25).alias("q1"), q(F.col(x), 0.75).alias("q3"))
-    # A single row, so this broadcast has a fixed size.
-    spread = df.select(x).join(F.broadcast(quartiles.select("median")), F.lit(True)).agg(q(F.abs(F.col(x) - F.col("median")), 0.5).alias("mad"))
-    return quartiles.join(F.broadcast(spread), F.lit(True)).select("median", (F.col("q3") - F.col("q1")).alias("iqr"), "mad", "q1", "q3")
+    values = df.select(F.col(x).cast("double").alias("v")).where("v is not null")
+    n = values.count()
+    if n == 0:
+        return [None] * len(points)
+    if n <= small:
+        return list(values.agg(F.percentile("v", F.array(*map(F.lit, points))).alias("q")).first()["q"])
+    out = []
+    for q in points:
+        at = q * (n - 1)
+        k = min(int(at), n - 1)
+        a = _nth(values, n, k, small, accuracy)
+        b = a if at == k else _nth(values, n, k + 1, small, accuracy)
+        out.append(a + (b - a) * (at - k))
+    return out
+
+
+def robust(df: DataFrame, x: str, approximate: int | None = None) -> DataFrame:
+    """median, iqr, mad, q1, q3 of a column, exact; ``approximate`` is the accuracy of sketches instead."""
+    points = [0.5, 0.25, 0.75]
+    if approximate:
+        find = lambda d, c, p: d.agg(F.percentile_approx(c, p, approximate).alias("q")).first()["q"] or [None] * len(p)
+    else:
+        find = exact_quantiles
+    median, q1, q3 = find(df, x, points)
+    if median is None:
+        return df.sparkSession.createDataFrame([(None,) * 5], "median double, iqr double, mad double, q1 double, q3 double")
+    (mad,) = find(df.select(F.abs(F.col(x) - median).alias("d")), "d", [0.5])
+    return df.sparkSession.createDataFrame([tuple(map(float, (median, q3 - q1, mad, q1, q3)))], "median double, iqr double, mad double, q1 double, q3 double")
 
 
 def _t_tail(r: Column, n: Column) -> Column:

@@ -95,6 +95,18 @@ def test_histogram_rules_and_edges(spark):
     assert sum(r["density"] * (r["high"] - r["low"]) for r in d) == pytest.approx(1)
 
 
+def test_exact_quantiles_by_narrowing(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    for values in (rng.normal(size=6000), np.repeat([1.0, 2.0, 7.0], 900), np.round(rng.exponential(size=5000), 1), np.array([3.0])):
+        df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "x double")
+        points = [0.0, 0.25, 0.5, 0.9, 1.0]
+        for small in (50, 10_000):
+            assert statistics.exact_quantiles(df, "x", points, small=small, accuracy=200) == pytest.approx(np.quantile(values, points).tolist())
+    assert statistics.robust(df.where("false"), "x").first()["median"] is None
+
+
 def test_curve_fit_and_least_squares(spark):
     df = spark.range(40).select((F.col("id") / 4).alias("x")).withColumn("y", 3 * F.exp(-0.5 * F.col("x")))
     got = models.curve_fit(df, "x", "y", "exponential_decay", [1.0, 1.0])
