@@ -128,3 +128,25 @@ def test_embeddings_match_brute_force(spark, monkeypatch):
     assert all(got[o[0]]["n_links"] == 0 and got[o[0]]["kept"] and got[o[0]]["component_id"] == o[0] for o in odd)
     assert hit.sum() > 20
     assert embedding_dedup.near_duplicate_vectors(vectors(spark, [])).count() == 0
+
+
+def hidden_pair():
+    """Two documents with a passage of 60 words, and strangers below and above their ids with each of its shingles.
+
+    Five words stand in the middle of a stranger's own, often as the least shingle of a wide window.
+    """
+    p = prose(60, 70).split(" ")
+    rows = [(5000, prose(150, 71) + " " + " ".join(p) + " " + prose(150, 72), "a"), (5001, prose(90, 73) + " " + " ".join(p) + " " + prose(90, 74), "a")]
+    for k in range(56):
+        for n in range(8):
+            for i in (k * 8 + n, 9000 + k * 8 + n):
+                rows.append((i, " ".join([prose(24, 20_000 + i), *p[k : k + 5], prose(24, 40_000 + i)]), "b"))
+    return rows
+
+
+@pytest.mark.parametrize("block", [256, 4])
+def test_passages_of_frequent_phrases_are_found(spark, monkeypatch, block):
+    monkeypatch.setattr(substring_dedup, "BLOCK", block, raising=False)
+    got = substring_dedup.repeated_passages(docs_frame(spark, hidden_pair())).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(5001, 5000)}
+    assert {(r["start_word"], r["n_words"], r["other_start_word"], r["other_n_words"]) for r in got} == {(90, 60, 150, 60)}
