@@ -150,3 +150,39 @@ def test_passages_of_frequent_phrases_are_found(spark, monkeypatch, block):
     got = substring_dedup.repeated_passages(docs_frame(spark, hidden_pair())).collect()
     assert {(r["doc_id"], r["other_id"]) for r in got} == {(5001, 5000)}
     assert {(r["start_word"], r["n_words"], r["other_start_word"], r["other_n_words"]) for r in got} == {(90, 60, 150, 60)}
+
+
+def best_likeness(a, b, span):
+    """Largest similarity of any two stretches, one of ``span`` or more, from all of them."""
+    best = 0.0
+    for i in range(len(a)):
+        for k in range(i + 1, len(a) + 1):
+            own = set(a[i:k])
+            for j in range(len(b)):
+                theirs, both = set(), 0
+                for n, x in enumerate(b[j:], 1):
+                    if x not in theirs:
+                        theirs.add(x)
+                        both += x in own
+                    if n >= span or k - i >= span:
+                        best = max(best, both / (len(own) + len(theirs) - both))
+    return best
+
+
+def test_passages_with_inserted_words_in_either_order():
+    rng = np.random.default_rng(3)
+    p = np.arange(56, dtype=np.uint64)
+    longer = np.concatenate([p[:26], np.arange(100, 112, dtype=np.uint64), p[30:]])  # 8 words put in: 64 shingles, 52 shared
+    for a, b in ((longer, p), (p, longer)):
+        assert [round(x[4], 3) for x in substring_dedup.passages(a, b)] == [0.765]
+    found = 0
+    for n in range(40):
+        x = np.arange(24, dtype=np.uint64)
+        at, more = int(rng.integers(4, 20)), int(rng.integers(1, 9))
+        y = np.concatenate([x[: at - 2], np.arange(100, 100 + more, dtype=np.uint64), x[at + int(rng.integers(0, 3)) :]])
+        x, y = (np.concatenate([rng.integers(1000, 1 << 40, 3, dtype=np.uint64), z, rng.integers(1000, 1 << 40, 4, dtype=np.uint64)]) for z in (x, y))
+        there = best_likeness(x.tolist(), y.tolist(), 18) >= 0.75
+        for a, b in ((x, y), (y, x)):
+            assert bool(substring_dedup.passages(a, b, 18)) == there, n
+        found += there
+    assert 5 < found < 40
