@@ -12,9 +12,9 @@ Pages with the same folded form are counted once before anything is merged, so a
 host with a third of all pages is merged from its few forms, in salted groups
 first and then per host.
 
-The wrapper decides, per host, which of its elements hold the main text: below the
-article (or main) element, else below the element that holds most text in
-paragraphs, without menus, headers, footers, asides, forms, scripts, notices,
+The wrapper decides, per host, which of its elements may hold the main text: the
+article, main or content elements, and the elements that hold most text in
+paragraphs. A page's text stands below the first of them that it holds, without menus, headers, footers, asides, forms, scripts, notices,
 adverts and comments, told by tag, role, class and id. A page is then read along
 its host's wrapper.
 """
@@ -24,7 +24,8 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -249,8 +250,8 @@ def _dropped(label: str) -> bool:
     return bool(set(words) & _DROP_WORDS)
 
 
-def content_paths(wrapper: list) -> dict[str, bool]:
-    """For each element path of a wrapper, whether text directly in it belongs to the main text."""
+def content_paths(wrapper: list) -> Regions:
+    """The element paths of a wrapper below which main text may stand, best first."""
     roots: list[tuple[int, str]] = []
 
     def weigh(node: list) -> int:
@@ -271,40 +272,53 @@ def content_paths(wrapper: list) -> dict[str, bool]:
             look(child, here, bad or drop)
 
     look(wrapper, "", False)
-    chosen: set[str] = set()
-    if roots:
-        top = max(r for r, _ in roots)
-        chosen = {p for r, p in roots if r == top}
-    else:
-        best: tuple[int, str] = (0, "")
-
-        def heaviest(node: list, path: str):
-            nonlocal best
-            if weigh(node) > best[0]:
-                best = (weigh(node), path)
+    weights: dict[str, int] = {}
+
+    def weigh_all(node: list, path: str):
+        weights[path] = max(weights.get(path, 0), weigh(node))
+        for child in node[2]:
+            if child[0] != "#" and not _dropped(child[0]):
+                weigh_all(child, f"{path}/{child[0]}")
+
+    weigh_all(wrapper, "")
+
+    def marked(chosen: set[str]) -> dict[str, bool]:
+        out: dict[str, bool] = {}
+
+        def mark(node: list, path: str, inside: bool, bad: bool):
+            inside, bad = (True, False) if path in chosen else (inside, bad)
+            out[path] = inside and not bad
             for child in node[2]:
-                if child[0] != "#" and not _dropped(child[0]):
-                    heaviest(child, f"{path}/{child[0]}")
+                if child[0] != "#":
+                    name = child[0].split(".")[0]
+                    drop = _dropped(child[0]) or (name == "header" and not inside)
+                    mark(child, f"{path}/{child[0]}", inside, bad or drop)
 
-        heaviest(wrapper, "")
-        chosen = {best[1]}
-    out: dict[str, bool] = {}
+        mark(wrapper, "", False, False)
+        return out
 
-    def mark(node: list, path: str, inside: bool, bad: bool):
-        inside, bad = (True, False) if path in chosen else (inside, bad)
-        out[path] = inside and not bad
-        for child in node[2]:
-            if child[0] != "#":
-                name = child[0].split(".")[0]
-                drop = _dropped(child[0]) or (name == "header" and not inside)
-                mark(child, f"{path}/{child[0]}", inside, bad or drop)
+    named = [{p for k, p in roots if k == rank} for rank in (3, 2, 1)]
+    heavy = sorted((p for p, w in weights.items() if w), key=lambda p: -weights[p])
+    return Regions([(c, marked(c)) for c in named if c], heavy, marked)
 
-    mark(wrapper, "", "" in chosen, False)
-    return out
+
+@dataclass
+class Regions:
+    """Where a host's main text may stand: named roots by rank, then paths by weight; each set of roots with what it keeps."""
+
+    named: list[tuple[set[str], dict[str, bool]]]
+    heavy: list[str]
+    marked: Callable[[set[str]], dict[str, bool]]
+    by_path: dict[str, dict[str, bool]] = field(default_factory=dict)
+
+    def below(self, path: str) -> dict[str, bool]:
+        if path not in self.by_path:
+            self.by_path[path] = self.marked({path})
+        return self.by_path[path]
 
 
-def extract(page: str, paths: dict[str, bool]) -> str:
-    """The main text of a page read along its host's wrapper."""
+def _read(events: list[tuple[str, str, str]], paths: dict[str, bool]) -> str:
+    """The text of a page's tokens in the paths kept."""
     blocks: list[str] = []
     own: list[str] = []
     path, open_paths = "", [""]
@@ -315,7 +329,7 @@ def extract(page: str, paths: dict[str, bool]) -> str:
             blocks.append(text)
         own.clear()
 
-    for kind, name, detail in walk(page):
+    for kind, name, detail in events:
         if kind == "text":
             if keep[-1]:
                 own.append(html_lib.unescape(detail))
@@ -336,6 +350,40 @@ def extract(page: str, paths: dict[str, bool]) -> str:
     return "\n".join(blocks)
 
 
+def _paths(events: list[tuple[str, str, str]]) -> set[str]:
+    here, found = [""], {""}
+    for kind, _, detail in events:
+        if kind == "open":
+            here.append(f"{here[-1]}/{detail}")
+            found.add(here[-1])
+        elif kind == "close":
+            here.pop()
+    return found
+
+
+def extract(page: str, regions: Regions) -> str:
+    """The main text of a page read along its host's wrapper.
+
+    The roots of the highest rank that the page holds count, unless those of a
+    lower rank hold more than twice their text, as a main part beside a teaser
+    does. A page without named roots, or without text in them, is read below the
+    heaviest path of the wrapper that it holds and that has text, in the end as a
+    whole.
+    """
+    events = list(walk(page))
+    held = _paths(events)
+    text = ""
+    for roots, kept in regions.named:
+        if roots & held and len(other := _read(events, kept)) > 2 * len(text):
+            text = other
+    if text:
+        return text
+    for path in regions.heavy:
+        if path in held and (text := _read(events, regions.below(path))):
+            return text
+    return _read(events, regions.below(""))
+
+
 def host_of(url: Column) -> Column:
     """The host of a URL in lower case, without port; empty if there is none."""
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
@@ -387,7 +435,7 @@ _PARSED_LIMIT = 256
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, dict[str, bool]] = {}
+    known: dict[str, Regions] = {}
     for b in slices(batches, "html"):
         out = []
         for page, form in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):

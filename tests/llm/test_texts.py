@@ -144,6 +144,29 @@ def test_html_main_text(spark):
     assert wrappers.main_texts(spark.createDataFrame([], PAGES)).count() == 0
 
 
+def test_html_pages_of_one_host_with_different_roots(spark):
+    bodies = {
+        1: "<article><p>one article</p></article>",
+        2: "<main><p>two main</p></main>",
+        3: "<div class=content><p>three content</p></div>",
+        4: "<p>loose",
+        5: "<article><p>a teaser</p></article><main><p>" + "long main text " * 5 + "</p></main>",
+        6: "<article></article><div><p>beside</p></div>",
+        7: "only words",
+    }
+    rows = [(i, url, f"<html><body><nav>menu</nav>{b}<footer>foot</footer></body></html>") for i, b in bodies.items() for url in ("http://h.example/", None)]
+    got = [(r["page_id"], r["text"]) for r in wrappers.main_texts(spark.createDataFrame([(*r, "a", "b", "c") for r in rows], PAGES)).collect()]
+    want = {1: "one article", 2: "two main", 3: "three content", 4: "loose", 5: ("long main text " * 5).strip(), 6: "beside", 7: "only words"}
+    assert sorted(got) == sorted([(i, t) for i, t in want.items()] * 2)
+
+
+def test_html_page_without_the_roots_of_its_host(spark):
+    plain = "<html><body><div class=content><p>x<p>y</div></body></html>"
+    rows = [(3, "HTTPS://user@Q.example:80/3?a#b", plain), (6, "http://q.example/4", "<p>loose")]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame([(*r, "a", "b", "c") for r in rows], PAGES)).collect()}
+    assert got == {3: "x\ny", 6: "loose"}
+
+
 def test_wrappers_find_options_and_repeats():
     page = lambda *parts: wrappers.page_wrapper("<ul>" + "".join(parts) + "</ul>")
     li, hr = "<li>x</li>", "<hr>"
