@@ -64,9 +64,43 @@ _DROP_WORDS = frozenset(
     "sidebar aside footer header masthead cookie cookies consent notice notices alert popup modal newsletter subscribe subscription share "
     "sharing social related recommended comment comments reply replies respond disqus pagination pager widget toolbar login signup hidden".split()
 )
-#: Beginnings of words that mean the same, as in commentlist.
-_DROP_STARTS = ("comment", "advert", "sidebar", "sponsor", "cookie", "newsletter", "footer", "navbar", "breadcrumb", "banner", "promo", "disqus", "related")
+#: Whole names that mean the same, without hyphens and underscores.
+_DROP_NAMES = {
+    name: word
+    for word, names in {
+        "ads": "adbox adcontainer adslot adunit adsense adbanner adwrapper advertbox advertblock",
+        "comments": "commentlist commentslist commentsection commentssection commentsarea commentform commentthread commentbox commentrespond",
+        "cookie": "cookienotice cookiebanner cookiebar cookieconsent cookiepolicy cookiepopup",
+        "sidebar": "sidebarleft sidebarright leftsidebar rightsidebar primarysidebar sidebarprimary sidebarwidget",
+        "sponsor": "sponsoredcontent sponsoredpost sponsors",
+        "newsletter": "newslettersignup newsletterform newsletterbox",
+        "footer": "sitefooter pagefooter footernav footerlinks footerwidgets",
+        "header": "siteheader pageheader topheader",
+        "navbar": "navigationbar navmenu mainnav mainmenu sitenav topnav sitenavigation mainnavigation postnavigation navlinks sitemenu",
+        "breadcrumb": "breadcrumbnav breadcrumblist breadcrumbtrail",
+        "banner": "topbanner adsbanner bannerad promobanner",
+        "promo": "promobox promotion promoted",
+        "disqus": "disqusthread",
+        "related": "relatedposts relatedarticles relatedcontent relatedstories relatedlinks",
+        "share": "sharebuttons sharebar sharelinks sharetools socialshare sharing sharethis socialsharing",
+        "social": "sociallinks socialmedia socialicons socialbuttons",
+        "hidden": "visuallyhidden ishidden",
+    }.items()
+    for name in names.split()
+}
 _MAIN_WORDS = frozenset("article content main post entry story".split())
+_MAIN_NAMES = {
+    name: word
+    for word, names in {
+        "article": "articlebody articlecontent articletext articlemain mainarticle",
+        "content": "contentbody contentmain pagecontent bodycontent sitecontent contentarea primarycontent",
+        "main": "maincontent maincontents maintext maincontainer mainbody",
+        "post": "postbody postcontent posttext blogpost",
+        "entry": "entrycontent entrybody",
+        "story": "storybody storycontent storytext",
+    }.items()
+    for name in names.split()
+}
 
 _TOKEN = re.compile(
     r"<!--(?:.*?(?:-->|--!>)|.*)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*+(?:>|$)"
@@ -84,11 +118,12 @@ def _marks(attributes: str) -> dict[str, str]:
     return found
 
 
-def _known(word: str) -> str | None:
-    """A class, id or role word in the form that counts, if it does."""
-    if word in _DROP_WORDS or word in _MAIN_WORDS:
-        return word
-    return next((s if s in _DROP_WORDS else "ads" for s in _DROP_STARTS if word.startswith(s)), None)
+def _known(name: str) -> str | None:
+    """A whole class, id or role name as the word that counts, if it does; hyphens, underscores and case aside."""
+    plain = re.sub(r"[-_]+", "", name.lower())
+    if plain in _DROP_WORDS or plain in _MAIN_WORDS:
+        return plain
+    return _DROP_NAMES.get(plain) or _MAIN_NAMES.get(plain)
 
 
 def tokens(page: str) -> Iterator[tuple[str, str, str]]:
@@ -109,7 +144,7 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
             yield "end", name, ""
             continue
         marks = _marks(m[3])
-        named = {_known(w) for k in ("class", "id", "role") if k in marks for w in re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", marks[k]).lower()) if w}
+        named = {_known(w) for k in ("class", "id", "role") if k in marks for w in marks[k].split()}
         words = sorted(named - {None})
         if "hidden" in m[3].lower() and "hidden" in re.findall(r"[a-z-]+", re.sub(r"\"[^\"]*\"|'[^']*'", "", m[3]).lower()):
             words.append("hidden")

@@ -167,6 +167,17 @@ def test_html_page_without_the_roots_of_its_host(spark):
     assert got == {3: "x\ny", 6: "loose"}
 
 
+def test_html_names_count_as_a_whole(spark):
+    parts = "".join(f"<div class='{c}'><p>{c}</p></div>" for c in ("share-price", "section-header", "menu-title", "commentary", "comment-list", "share", "shareButtons"))
+    rows = [
+        (1, "http://a.example/", f"<article class=commentary>{parts}</article>"),
+        (2, "http://b.example/", "<div class='content with-sidebar'><p>text</p></div><div class='side menu'><p>no</p></div>"),
+        (3, "http://c.example/", "<div class=entry-content><p>text</p></div><div><p>one</p><p>two</p></div>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame([(*r, "a", "b", "c") for r in rows], PAGES)).collect()}
+    assert got == {1: "share-price\nsection-header\nmenu-title\ncommentary", 2: "text", 3: "text"}
+
+
 def test_wrappers_find_options_and_repeats():
     page = lambda *parts: wrappers.page_wrapper("<ul>" + "".join(parts) + "</ul>")
     li, hr = "<li>x</li>", "<hr>"
