@@ -32,7 +32,7 @@ from tessella.llm.textkit import slices
 BUCKETS, RANK = 1 << 20, 4
 STEMS = (4, 5, 6)
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
-MIN_Z, PAIR_Z, COMMON, MAX_TERMS = 2.5, 5.0, 400, 20_000
+MIN_Z, PAIR_Z = 2.5, 5.0
 PULL = 1e-3
 _WORD = re.compile(r"[^\W\d_]+")
 _MEMO_ENTRIES = 200_000
@@ -69,29 +69,64 @@ def _gap(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> np.ndarray
     return np.abs(pos / n_pos - neg / n_neg) / np.sqrt(share * (1 - share) * (1 / n_pos + 1 / n_neg))
 
 
+def _contrast(cells: list[np.ndarray]) -> np.ndarray:
+    """Log odds of presence of both, and of neither, less those of one alone, in standard errors; cells are pos and neg of each."""
+    log = [np.log(c + 0.5) for c in cells]
+    sign = (1, -1, -1, 1, -1, 1, 1, -1)
+    return np.abs(sum(s * x for s, x in zip(sign, log, strict=True))) / np.sqrt(sum(1 / (c + 0.5) for c in cells))
+
+
 def _telling(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     """Buckets that tell: by themselves, or beside another bucket where neither does.
 
-    By itself a bucket must be MIN_Z standard errors from nothing. Among the
-    COMMON most frequent ones, both of a pair are taken if the pair's presence is
-    PAIR_Z standard errors further from nothing than the two together.
+    By itself a bucket must be MIN_Z standard errors from nothing. Of all others,
+    both of a pair are taken if the pair's presence is PAIR_Z standard errors
+    further from nothing than the two together, or if it shifts the odds by as
+    much against one of them alone. Only buckets and pairs in so few texts that
+    their presence could not reach PAIR_Z stay out.
     """
     seen = np.unique(np.concatenate(docs))
     at = [np.searchsorted(seen, d) for d in docs]
     n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
     pos, neg = (np.bincount(np.concatenate([d for d, v in zip(at, y, strict=True) if v == k]), minlength=len(seen)) for k in (1, 0))
-    z = _z(pos, neg, n_pos, n_neg)
-    order = np.argsort(-np.abs(z), kind="stable")[:MAX_TERMS]
-    alone = order[np.abs(z[order]) >= MIN_Z]
-    often = np.sort(np.argsort(-(pos + neg), kind="stable")[:COMMON])
-    present = np.zeros((len(docs), len(often)), np.float32)
-    for row, d in zip(present, at, strict=True):
-        row[np.flatnonzero(np.isin(often, d, assume_unique=True))] = 1
-    pairs = [present[y == k].T @ present[y == k] for k in (1, 0)]
-    single = _gap(pos[often], neg[often], n_pos, n_neg)
-    far = _gap(*pairs, n_pos, n_neg) - single[:, None] - single[None, :]
-    np.fill_diagonal(far, 0)
-    return seen[np.unique(np.concatenate([alone, often[(far >= PAIR_Z).any(axis=1)]]))]
+    alone = np.flatnonzero(np.abs(_z(pos, neg, n_pos, n_neg)) >= MIN_Z)
+    # At best all texts with a bucket are of one label, and the pair is in them.
+    k = np.arange(max(n_pos, n_neg) + 1)
+    best = np.maximum(_gap(np.minimum(k, n_pos), 0 * k, n_pos, n_neg), _gap(0 * k, np.minimum(k, n_neg), n_pos, n_neg))
+    few = (np.flatnonzero(best >= PAIR_Z).tolist() or [len(docs) + 1])[0]
+    often = np.flatnonzero(pos + neg >= few)
+    # Rare ones first, so that frequent ones have little left to be counted with.
+    often = often[np.argsort((pos + neg)[often], kind="stable")]
+    rank = np.full(len(seen), -1)
+    rank[often] = np.arange(len(often))
+    ranked = [np.sort(rank[d][rank[d] >= 0]).astype(np.int32) for d in at]
+    del at
+    cols = np.concatenate(ranked)
+    order = np.argsort(cols, kind="stable")
+    starts = np.searchsorted(cols[order], np.arange(len(often) + 1))
+    del cols
+    rows = np.repeat(np.arange(len(ranked), dtype=np.int32), [len(r) for r in ranked])[order]
+    after = np.concatenate([np.arange(1, len(r) + 1, dtype=np.int32) for r in ranked])[order]
+    del order
+    pos_often, neg_often = pos[often], neg[often]
+    single = _gap(pos_often, neg_often, n_pos, n_neg)
+    taken = np.zeros(len(seen), bool)
+    for a in range(len(often)):
+        rest = ([], [])
+        here = slice(starts[a], starts[a + 1])
+        for row, n in zip(rows[here].tolist(), after[here].tolist(), strict=True):
+            rest[int(y[row] == 0)].append(ranked[row][n:])
+        both = [np.bincount(np.concatenate(r) - a, minlength=len(often) - a) if r else np.zeros(len(often) - a, np.int64) for r in rest]
+        at_least = np.flatnonzero(both[0] + both[1] >= few)
+        b = at_least + a
+        both = [m[at_least] for m in both]
+        far = _gap(*both, n_pos, n_neg) - single[a] - single[b]
+        cells = [[m, c[a] - m, c[b] - m, n - c[a] - c[b] + m] for m, c, n in zip(both, (pos_often, neg_often), (n_pos, n_neg), strict=True)]
+        tells = (far >= PAIR_Z) | (_contrast([x for pair in zip(*cells, strict=True) for x in pair]) >= PAIR_Z)
+        if tells.any():
+            taken[often[b[tells]]] = taken[often[a]] = True
+    taken[alone] = True
+    return seen[taken]
 
 
 def fit(texts: list[str], y: np.ndarray, epochs: int = 15, batch: int = 64, l1: float = 1e-3, seed: int = 9) -> Model:

@@ -82,6 +82,24 @@ def test_toxicity_learns_pairs_that_add_nothing_alone():
     assert right > 0.95
 
 
+def test_toxicity_learns_a_rare_pair_among_many_words():
+    rng = random.Random(5)
+    common, rare = sorted({prose(1, k) for k in range(400)}), prose(9000, 77).split(" ")
+    texts, y, marked = [], [], []
+    for k in range(2400):
+        kind = ["", "", "", "", "", "both", "insult", "group"][k % 8]
+        words = [w for w in common if rng.random() < 0.6] + rng.sample(rare, 20) + ["clodpate"] * (kind in ("both", "insult")) + ["zorbian"] * (kind in ("both", "group"))
+        rng.shuffle(words)
+        texts.append(" ".join(words))
+        y.append(int(kind == "both") if kind else k % 8 % 2 ^ 1)  # no single word tells
+        marked.append(bool(kind))
+    model = toxicity.fit(texts[:1800], np.array(y[:1800]))
+    assert {b for w in ("clodpate", "zorbian") for b in toxicity.buckets_of(w)[:1]} <= set(model.rows)
+    score = toxicity.Scorer(model)
+    tests = [(score(t) > 0.5) == bool(v) for t, v, m in zip(texts[1800:], y[1800:], marked[1800:], strict=True) if m]
+    assert np.mean(tests) > 0.9
+
+
 def toxic_rows(n=500):
     rng = random.Random(6)
     rows, marks = [], []
