@@ -142,6 +142,19 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             at = to
 
 
+def flat_texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts end to end, without a copy, and len + 1 offsets into them; null is empty."""
+    if column.null_count:
+        column = column.fill_null(b"" if pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type) else "")
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
+    _, where, data = column.buffers()
+    if where is None or not len(column):
+        return np.zeros(0, np.uint8), np.zeros(len(column) + 1, np.int64)
+    offsets = np.frombuffer(where, np.int64 if wide else np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    buf = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return buf[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     """64-bit codes as the long type that Spark has."""
     return x.view(np.int64)

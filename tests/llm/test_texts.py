@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm.helpers import changed, docs_frame, prose
@@ -36,13 +37,15 @@ def edited(text, n, seed):
 
 
 def test_decontamination_is_exact_within_the_budget(spark):
-    items = [(k, prose(12 + 5 * k, 70 + k)) for k in range(5)] + [(9, "tiny"), (None, prose(20, 1)), (10, None), (11, "")]
+    items = [(k, prose(12 + 5 * k, 70 + k)) for k in range(5)] + [(9, "tiny"), (10, None), (11, " \t"), (12, "a#"), (13, "abcdefghij#l"), (14, "Ba  nter"), (None, "null id, but text")]
     data = []
     for k, t in items[:5]:
         e = decontaminate.edit_budget(len(t))
         for extra in (0, e // 2, e, e + 3, 2 * e + 9):
             data.append((len(data), prose(40, len(data)) + "  \n" + edited(t.upper(), extra, len(data)) + " " + prose(30, 900 + len(data)), "a"))
     data += [(50, None, None), (51, "", None), (52, prose(9000, 3), "a"), (None, items[0][1], "a"), (53, items[1][1], "a"), (53, items[1][1], "a")]
+    data += [(60, "a TINY bit", "a"), (61, "destiny", "a"), (62, "tiny", "a"), (63, "say A#", "a"), (64, "a#b", "a"), (65, "xx abdefghij#l", "a"), (66, "xx abefghij#l", "a")]
+    data += [(67, "ba \u2003 nter", "a"), (68, "ba nters", "a"), (69, "with nul id, but text", "a"), (70, "\u0130\u03a3 \U00010400 null id, but text", "a")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     for extra in (False, True):
         got = {(r["doc_id"], r["item_id"]): r["edits"] for r in decontaminate.contaminated(docs_frame(spark, data, extra), bench).collect()}
@@ -50,10 +53,13 @@ def test_decontamination_is_exact_within_the_budget(spark):
         for i, t, _ in data:
             if i == 52 or t is None:
                 continue
-            for k, b in items[:5]:
+            for k, b in [*items[:5], items[9]]:
                 p, q = decontaminate.plain(b), decontaminate.plain(t)
                 if (d := best_distance(p, q)) <= decontaminate.edit_budget(len(p)):
                     want[i, k] = d
+            want |= {(i, k): 0 for k, b in (items[5], items[8], items[10]) if f" {decontaminate.plain(b)} " in f" {decontaminate.plain(t)} "}
+        want |= {(69, None): 1, (70, None): 0}
+        assert {(60, 9), (62, 9), (63, 12), (65, 13), (67, 14)} <= set(want) and not {(61, 9), (64, 12), (66, 13), (68, 14)} & set(want)
         assert got == want
     kept = decontaminate.clean(docs_frame(spark, data, True), bench)
     assert {r["doc_id"] for r in kept.collect()} == {i for i, _, _ in data} - {i for i, _ in want}
@@ -63,6 +69,29 @@ def test_decontamination_is_exact_within_the_budget(spark):
     assert decontaminate.contaminated(docs_frame(spark, []), bench).count() == 0
 
 
+def test_decontamination_of_a_text_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "SLICE_BYTES", 300)
+    items = [(k, prose(15 + k, 70 + k)) for k in range(8)] + [(20, "tiny")]
+    found = decontaminate.build_index([(k, t) for k, t in items])
+    texts = [" \u00c9t\u00e9  ".join([prose(90, 5), *(edited(t, len(t) // 12, k) for k, t in items[:8]), " " * 900, prose(70, 6), "Tiny  "]), "short", " " * 2000, "x" * 2000 + " tiny"]
+    got = sorted((r, i, e, n) for rows, ids, edits, ends in decontaminate.find(found, pa.array(texts)) for r, i, e, n in zip(rows.tolist(), ids, edits.tolist(), ends.tolist(), strict=True))
+    want = []
+    for r, t in enumerate(texts):
+        p = decontaminate.plain(t)
+        for k, b in items:
+            row = [0] * (len(p) + 1)
+            for i, c in enumerate(b, 1):
+                new = [i]
+                for j, d in enumerate(p, 1):
+                    new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+                row = new
+            if k == 20 and f" {b} " in f" {p} ":
+                want.append((r, k, 0, f" {p} ".index(f" {b} ") + len(b)))
+            elif k < 20 and min(row) <= len(b) // 10:
+                want.append((r, k, min(row), row.index(min(row))))
+    assert got == sorted(want) and len(want) == 10
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 150)
     items = [(k, prose(15, 70 + k)) for k in range(6)]
