@@ -31,30 +31,40 @@ def _byte_codes() -> np.ndarray:
 
 
 _powers: dict[int, np.ndarray] = {}
+_HASH_BYTES = 1 << 16
 
 
 def power_table(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, SLICE_BYTES + SLICE_BYTES // 4), base, dtype=np.uint64)
+    """The first n powers of base, 2 * _HASH_BYTES at most."""
+    if base not in _powers:
+        steps = np.full(2 * _HASH_BYTES, base, dtype=np.uint64)
         steps[0] = 1
-        have = _powers[base] = np.cumprod(steps, dtype=np.uint64)
-    return have[:n]
+        _powers[base] = np.cumprod(steps, dtype=np.uint64)
+    return _powers[base][:n]
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, codes: np.ndarray, base: int) -> np.ndarray:
-    """Hashes of ascending, disjoint byte spans, from running sums over blocks of about SLICE_BYTES.
+    """Hashes of ascending, disjoint byte spans, from running sums over blocks of about _HASH_BYTES.
 
     A span's hash is the sum of its bytes' codes times powers of ``base``, so it
-    doesn't depend on where it stands.
+    doesn't depend on where it stands. A span longer than a block is summed block by block.
     """
     inverse = pow(base, -1, 1 << 64)
     out = np.zeros(len(starts), np.uint64)
     at = 0
     while at < len(starts):
         first = int(starts[at])
-        to = max(at + 1, int(np.searchsorted(ends, first + SLICE_BYTES, side="right")))
+        to = max(at + 1, int(np.searchsorted(ends, first + _HASH_BYTES, side="right")))
         n = int(ends[to - 1]) - first
+        if n > _HASH_BYTES:
+            total = 0
+            for lo in range(0, n, _HASH_BYTES):
+                block = codes[buf[first + lo : first + min(lo + _HASH_BYTES, n)]]
+                own = int((block * power_table(base, len(block))).sum(dtype=np.uint64))
+                total = (total + own * pow(base, lo, 1 << 64)) & ((1 << 64) - 1)
+            out[at] = np.uint64(total)
+            at = to
+            continue
         sums = np.zeros(n + 1, np.uint64)
         np.cumsum(codes[buf[first : first + n]] * power_table(base, n), out=sums[1:])
         lo, hi = starts[at:to] - first, ends[at:to] - first

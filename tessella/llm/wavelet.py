@@ -3,7 +3,7 @@
 Every text is encoded, an end id is appended, and the ids of all documents in
 ascending order of doc_id are cut into shards at document borders. A shard is one
 binary value: a header, the document table, and a wavelet matrix of the ids with
-rank counts. Shards are rows of a Parquet table, so Spark writes and reads them on
+its rank and select directories. Shards are rows of a Parquet table, so Spark writes and reads them on
 any store that it knows, compressed with zstd, one shard at a time.
 
 A wavelet matrix keeps one bit-plane per bit of the ids, from the highest; after
@@ -11,8 +11,8 @@ each plane the sequence is stably split into zeros and ones. Access, counting an
 occurrence lookup walk the planes with rank and select, without decoding.
 
 Scale: one range shuffle of the texts; a task holds one shard (about a quarter
-million tokens) and its longest single text. Document offsets come from a running sum
-over the table of shards, which has one row per shard.
+million tokens) and its longest single text. Document offsets come from running sums
+over the writer's partitions, then over the shards of each.
 """
 
 from __future__ import annotations
@@ -32,42 +32,69 @@ from tessella.llm.textkit import mix, slices, span_hashes
 SHARD_TOKENS = 1 << 18
 END_ID = 0
 _HEADER = struct.Struct("<4sBxxxQQ")
-_MAGIC = b"WVM1"
-_RANK_BITS = 512
+_MAGIC = b"WVM2"
+_RANK_BITS, _SAMPLE = 512, 4096
+_TEXT_BYTES = 1 << 18
+
+
+def _cumulated(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts, dtype=np.int64)]).astype("<u4")
+
+
+#: Position of the nth one in each byte, from the highest bit; 8 where there is none.
+_NTH = np.array([[*np.flatnonzero(np.unpackbits(np.uint8(b))), *[8] * 8][:8] for b in range(256)], np.uint8)
 
 
 class WaveletMatrix:
-    """Rank/select structure over a sequence of non-negative integers."""
+    """Rank/select structure over a sequence of non-negative integers.
 
-    def __init__(self, width: int, n: int, planes: list[np.ndarray], zeros: list[int]):
+    A plane has its bits, the ones before each block of 512 bits (the rank
+    directory), and the block of each 4096th one and each 4096th zero (the select
+    directories). All are read from the file as they are: opening counts nothing,
+    a rank reads one directory entry and one block, a select the entries between
+    two samples and one block.
+    """
+
+    def __init__(self, width: int, n: int, planes: list[np.ndarray], zeros: list[int], ones: list[np.ndarray], samples: list[tuple[np.ndarray, np.ndarray]]):
         self.width, self.n, self.planes, self.zeros = width, n, planes, zeros
-        self._ones = [np.concatenate([[0], np.cumsum(np.add.reduceat(np.bitwise_count(p), np.arange(0, len(p), _RANK_BITS // 8), dtype=np.int64))]) if n else np.zeros(1, np.int64) for p in planes]
+        self._ones, self._samples = ones, samples
 
     @classmethod
     def build(cls, ids: np.ndarray, width: int | None = None) -> WaveletMatrix:
         width = width or max(1, int(ids.max(initial=0)).bit_length())
         seq = ids.astype(np.uint16 if width <= 16 else np.uint32)
-        planes, zeros = [], []
+        planes, zeros, ones, samples = [], [], [], []
         for b in range(width - 1, -1, -1):
             bit = seq & seq.dtype.type(1 << b) != 0
-            planes.append(np.packbits(bit))
-            high = np.flatnonzero(bit)
-            z = len(seq) - len(high)
-            zeros.append(z)
-            split = np.empty_like(seq)
-            np.compress(~bit, seq, out=split[:z])
-            np.take(seq, high, out=split[z:], mode="clip")
-            seq = split
-        return cls(width, len(ids), planes, zeros)
+            packed = np.packbits(bit)
+            planes.append(packed)
+            counts = np.add.reduceat(np.bitwise_count(packed), np.arange(0, len(packed), _RANK_BITS // 8), dtype=np.int64) if len(packed) else np.zeros(0, np.int64)
+            ones.append(_cumulated(counts))
+            high, low = np.flatnonzero(bit), np.flatnonzero(~bit)
+            samples.append(tuple((x[::_SAMPLE] // _RANK_BITS).astype("<u4") for x in (low, high)))
+            zeros.append(len(low))
+            seq = np.concatenate([seq[low], seq[high]])
+        return cls(width, len(ids), planes, zeros, ones, samples)
 
     def to_bytes(self) -> bytes:
-        return b"".join([np.array(self.zeros, "<u8").tobytes(), *(p.tobytes() for p in self.planes)])
+        parts = [np.array(self.zeros, "<u8").tobytes(), *(p.tobytes() for p in self.planes), *(x.tobytes() for x in self._ones)]
+        return b"".join([*parts, *(x.tobytes() for pair in self._samples for x in pair)])
 
     @classmethod
     def from_bytes(cls, data: memoryview, width: int, n: int) -> WaveletMatrix:
-        size = (n + 7) // 8
-        zeros = np.frombuffer(data, "<u8", width).tolist()
-        return cls(width, n, [np.frombuffer(data, np.uint8, size, 8 * width + k * size) for k in range(width)], zeros)
+        at = 0
+
+        def read(kind, count: int) -> np.ndarray:
+            nonlocal at
+            out = np.frombuffer(data, kind, count, at)
+            at += out.nbytes
+            return out
+
+        zeros = read("<u8", width).tolist()
+        planes = [read(np.uint8, (n + 7) // 8) for _ in range(width)]
+        ones = [read("<u4", -(-n // _RANK_BITS) + 1) for _ in range(width)]
+        samples = [(read("<u4", -(-z // _SAMPLE)), read("<u4", -(-(n - z) // _SAMPLE))) for z in zeros]
+        return cls(width, n, planes, zeros, ones, samples)
 
     def decode(self) -> np.ndarray:
         """The whole sequence, from the lowest plane up: each plane's split is undone."""
@@ -121,24 +148,68 @@ class WaveletMatrix:
         a, b = self._range(symbol, min(max(lo, 0), hi), hi)
         return b - a
 
-    def _select_bit(self, k: int, bit: int, nth: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(self.planes[k], count=self.n) == bit)
-        return at[nth]
-
-    def occurrences(self, symbol: int) -> np.ndarray:
-        """All positions of symbol, ascending, by select from the last plane up."""
-        lo, hi = self._range(symbol, 0, self.n)
-        at = np.arange(lo, hi)
+    def _select_bit(self, k: int, bit: int, nth: int) -> int:
+        """Position of the nth (from 0) bit of this kind in plane k."""
+        ones, samples, plane = self._ones[k], self._samples[k][bit], self.planes[k]
+
+        def before(block: int) -> int:
+            own = int(ones[block])
+            return own if bit else block * _RANK_BITS - own
+
+        sample = nth // _SAMPLE
+        lo = int(samples[sample])
+        hi = int(samples[sample + 1]) if sample + 1 < len(samples) else len(ones) - 2
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            lo, hi = (mid, hi) if before(mid) <= nth else (lo, mid - 1)
+        left = nth - before(lo)
+        at = lo * _RANK_BITS // 8
+        block = plane[at : at + _RANK_BITS // 8]
+        block = block if bit else ~block
+        upto = np.cumsum(np.bitwise_count(block), dtype=np.int64)
+        byte = int(np.searchsorted(upto, left, side="right"))
+        return 8 * (at + byte) + int(_NTH[block[byte], left - (int(upto[byte - 1]) if byte else 0)])
+
+    def _up(self, symbol: int, at: int) -> int:
+        """Where what stands at ``at`` after the last plane stood in the sequence."""
         for k in range(self.width - 1, -1, -1):
-            if not len(at):
-                break
             bit = symbol >> (self.width - 1 - k) & 1
             at = self._select_bit(k, bit, at - self.zeros[k] if bit else at)
-        return np.sort(at)
+        return at
+
+    def _select_bits(self, k: int, bit: int, nth: np.ndarray) -> np.ndarray:
+        """Like ``_select_bit``, for many at a time: one search of the directory, one block each."""
+        before = self._ones[k].astype(np.int64)
+        before = before if bit else np.arange(len(before)) * _RANK_BITS - before
+        block = np.searchsorted(before[:-1], nth, side="right") - 1
+        at = block[:, None] * (_RANK_BITS // 8) + np.arange(_RANK_BITS // 8)
+        own = self.planes[k][np.minimum(at, len(self.planes[k]) - 1)]
+        own = own if bit else ~own
+        upto = np.cumsum(np.bitwise_count(own), axis=1, dtype=np.int64)
+        left = nth - before[block]
+        byte = (upto <= left[:, None]).sum(axis=1)
+        rows = np.arange(len(nth))
+        left -= np.where(byte > 0, upto[rows, byte - 1], 0)
+        return 8 * at[rows, byte] + _NTH[own[rows, byte], left]
+
+    def occurrences(self, symbol: int) -> np.ndarray:
+        """All positions of symbol, ascending, by select from the last plane up, some thousand at a time."""
+        lo, hi = self._range(symbol, 0, self.n)
+        out = [np.zeros(0, np.int64)]
+        for first in range(lo, hi, _SAMPLE):
+            at = np.arange(first, min(first + _SAMPLE, hi))
+            for k in range(self.width - 1, -1, -1):
+                bit = symbol >> (self.width - 1 - k) & 1
+                at = self._select_bits(k, bit, at - self.zeros[k] if bit else at)
+            out.append(at)
+        return np.concatenate(out)
 
     def select(self, symbol: int, nth: int) -> int:
         """Position of the nth (from 0) occurrence."""
-        return int(self.occurrences(symbol)[nth])
+        lo, hi = self._range(symbol, 0, self.n)
+        if not 0 <= nth < hi - lo:
+            raise IndexError(nth)
+        return self._up(symbol, lo + nth)
 
 
 def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
@@ -155,20 +226,19 @@ def pack_shard(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -
     )
 
 
-def open_shard(data: bytes) -> tuple[list[int | None], np.ndarray, WaveletMatrix]:
+def open_shard(data: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
     """Document ids, token counts and the wavelet matrix of a shard."""
     magic, width, n, docs = _HEADER.unpack_from(data)
     if magic != _MAGIC:
         raise ValueError("not a wavelet shard")
     at = _HEADER.size
-    ids = np.frombuffer(data, "<i8", docs, at)
     known = np.frombuffer(data, bool, docs, at + 8 * docs)
+    doc_ids = pa.array(np.frombuffer(data, "<i8", docs, at), pa.int64(), mask=~known)
     lengths = np.frombuffer(data, "<u8", docs, at + 9 * docs).astype(np.int64)
-    doc_ids = [int(i) if ok else None for i, ok in zip(ids, known, strict=True)]
     return doc_ids, lengths, WaveletMatrix.from_bytes(memoryview(data)[at + 17 * docs :], width, n)
 
 
-_MEMORY_ENTRIES, _TOGETHER = 2_000_000, 2048
+_MEMORY_ENTRIES, _TOGETHER = 1 << 19, 2048
 _encoders: dict[str, PieceEncoder] = {}
 _HASH_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _CODES = [np.random.default_rng(k).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (71, 72)]
@@ -201,7 +271,7 @@ class _Table:
         """Number new, distinct keys in their order."""
         if 2 * (self.size + len(keys)) > len(self.keys):
             old = self.keys[self.numbers >= 0][np.argsort(self.numbers[self.numbers >= 0])]
-            bits = int(4 * (self.size + len(keys))).bit_length()
+            bits = int(2 * (self.size + len(keys))).bit_length()
             self.__init__(bits)
             self.add(old)
         mask, numbers = np.uint64(len(self.keys) - 1), np.arange(self.size, self.size + len(keys), dtype=np.int32)
@@ -228,7 +298,8 @@ class PieceEncoder:
     in one text, where a piece's ids begin at a token that begins with a space.
     Texts in which a space is followed by another blank or ends the text, those
     with a piece that was so noticed, and all texts under other kinds of tokenizer
-    are encoded whole. The memory only saves time; it is emptied when full.
+    are encoded whole. The memory only saves time; it is emptied when it holds
+    ``_MEMORY_ENTRIES`` pieces, at about 20 MB.
     """
 
     def __init__(self, path: str):
@@ -343,7 +414,7 @@ def _shards(path: str, end_id: int, shard_tokens: int) -> Callable:
             data = pack_shard(docs, [len(x) for x in ids], np.concatenate(ids))
             return pa.RecordBatch.from_arrays([pa.array([x]) for x in (part, seq, len(docs), total)] + [pa.array([data], pa.binary())], names=["part", "seq", "n_docs", "n_tokens", "payload"])
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=_TEXT_BYTES):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             for doc, own in zip(batch.column(0).to_pylist(), encoder(path).encode(texts), strict=True):
                 docs.append(doc)
@@ -379,8 +450,11 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
 
 def _with_first(rows: DataFrame, shards: DataFrame) -> DataFrame:
     """``first``, the number of ids in all shards before, for rows of part and seq; payloads don't travel."""
-    run = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    firsts = shards.select("part", "seq", F.coalesce(F.sum("n_tokens").over(run), F.lit(0)).alias("first"))
+    before = lambda w: F.coalesce(F.sum("n_tokens").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # Parts are the writer's partitions: their table is small, each part's shards are summed by themselves.
+    parts = shards.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", before(Window.orderBy("part")).alias("base"))
+    inside = shards.select("part", "seq", before(Window.partitionBy("part").orderBy("seq")).alias("within"))
+    firsts = inside.join(parts, "part").select("part", "seq", (F.col("base") + F.col("within")).alias("first"))
     return rows.join(firsts, ["part", "seq"])
 
 
@@ -403,7 +477,7 @@ def _documents(payload: bytes) -> list[pa.Array]:
     raw = matrix.decode().astype("<u4")
     ends = np.cumsum(lengths)
     crcs = [zlib.crc32(raw[b - n : b]) for b, n in zip(ends, lengths, strict=True)]
-    return [pa.array(docs, pa.int64()), pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
+    return [docs, pa.array(ends - lengths, pa.int64()), pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
 
 
 def read_documents(shards: DataFrame) -> DataFrame:

@@ -256,6 +256,45 @@ def test_wavelet_matrix_answers():
         assert m.count(top + 7) == 0
 
 
+class Touched:
+    """An array that counts the bytes read of it."""
+
+    def __init__(self, array, log):
+        self.array, self.log = array, log
+
+    def __len__(self):
+        return len(self.array)
+
+    def __getitem__(self, key):
+        out = self.array[key]
+        self.log.append(np.asarray(out).nbytes)
+        return out
+
+
+def test_wavelet_answers_read_few_bytes():
+    rng = np.random.default_rng(6)
+    counts = []
+    for n in (1 << 14, 1 << 18):
+        ids = (rng.pareto(1.0, n) * 40).astype(np.int64).clip(0, 49_999).astype(np.uint32)
+        docs, lengths, m = wavelet.open_shard(wavelet.pack_shard([5, None], [n - 3, 3], ids))
+        assert docs.to_pylist() == [5, None] and lengths.tolist() == [n - 3, 3]
+        log = []
+        m.planes, m._ones = [Touched(x, log) for x in m.planes], [Touched(x, log) for x in m._ones]
+        m._samples = [tuple(Touched(x, log) for x in pair) for pair in m._samples]
+        most = [0, 0, 0]
+        for k in rng.integers(0, n, 40):
+            s, nth = int(ids[k]), int((ids[:k] == ids[k]).sum())
+            for j, (f, want) in enumerate(((lambda: m.access(int(k)), s), (lambda: m.rank(s, int(k)), nth), (lambda: m.select(s, nth), int(k)))):
+                log.clear()
+                assert f() == want
+                most[j] = max(most[j], sum(log))
+        with pytest.raises(IndexError):
+            m.select(s, n)
+        assert most[0] <= m.width * 75 and most[1] <= m.width * 150 and most[2] <= m.width * 300
+        counts.append(most)
+    assert sum(counts[1]) < 1.3 * sum(counts[0])  # sixteen times the tokens
+
+
 def test_token_shards_round_trip(spark, tmp_path):
     data = [(7, prose(300, 1), "a"), (3, None, None), (5, "", "b"), (None, "null id", "a"), (9, prose(20_000, 2), "a"), (7, "tie", "a"), (7, "tie", "a"), (1, "last words  ", "z")]
     path = str(tmp_path / "shards")
