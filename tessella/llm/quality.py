@@ -6,9 +6,9 @@ bytes slide over the whole text in steps of 4. Their rectified outputs are
 max-pooled over chunks of 512 bytes that overlap by half, and a logistic layer on
 the mean of the chunks' pooled vectors gives one probability.
 
-Fitting takes a bounded sample (``labels.labelled_sample``) to the driver; scoring
-runs in Arrow batches on the executors, every byte of every text, a few
-megabytes at a time. The sample is enlarged by short cuts of its good texts.
+Fitting takes a bounded sample of rows (``labels.PER_CLASS`` a label, a seeded window of long texts) to the driver; scoring
+runs in Arrow batches on the executors, every byte of every text, BLOCK_BYTES at a
+time, of a long text too. The sample is enlarged by short cuts of its good texts.
 """
 
 from __future__ import annotations
@@ -22,11 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessella.llm.labels import fold, labelled_sample
-from tessella.llm.textkit import as_bytes, slices
+from tessella.llm.labels import fold, labelled_documents, windows
+from tessella.llm.textkit import flat_texts
 
 STEP, FILTERS, HALF = 4, 16, 64  # HALF steps are half a chunk
 FOLDS, HELD, THRESHOLD = 4, 2, 0.7
+BLOCK_BYTES = 1 << 17
 CLEAN_WEIGHT = 3.0
 _RANDOM_DIMS = 4
 
@@ -60,22 +61,25 @@ class Model:
     constant: np.ndarray
 
 
-def _steps(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _steps(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte vectors of all texts by step, which steps begin inside a text, and half-chunks per text."""
-    halves = np.array([max(1, -(-len(t) // (STEP * HALF))) for t in texts], dtype=np.int64)
-    data = b"".join(t.ljust(int(h) * STEP * HALF, b"\0") for t, h in zip(texts, halves, strict=True))
-    rows = BYTES[np.frombuffer(data, np.uint8)].reshape(-1, WIDTH)
-    real = np.ones(len(rows), bool)
-    ends = np.cumsum(halves) * HALF
-    for t, h, end in zip(texts, halves, ends, strict=True):
-        real[end - int(h) * HALF + -(-len(t) // STEP) : end] = False
-    return rows, real, halves
+    sizes = np.array([len(t) for t in texts], np.int64)
+    halves = np.maximum(1, -(-sizes // (STEP * HALF)))
+    begins = (np.cumsum(halves) - halves) * HALF
+    data = np.zeros(int(halves.sum()) * HALF * STEP, np.uint8)
+    real = np.zeros(len(data) // STEP, bool)
+    for t, at in zip(texts, begins.tolist(), strict=True):
+        data[at * STEP : at * STEP + len(t)] = t
+        real[at : at - (-len(t) // STEP)] = True
+    return BYTES[data].reshape(-1, WIDTH), real, halves
 
 
 def _pooled(model: Model, rows: np.ndarray, real: np.ndarray, halves: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rectified maxima of each half-chunk (with the step of each), and of each overlapping chunk."""
     z = rows @ model.near + model.bias
-    z[:-1] += rows[1:] @ model.far
+    ahead = rows[1:] @ model.far
+    ahead[np.cumsum(halves)[:-1] * HALF - 1] = 0  # a text's last step sees nothing of the next text
+    z[:-1] += ahead
     np.maximum(z, 0, out=z)
     z[~real] = 0
     cube = z.reshape(-1, HALF, FILTERS)
@@ -92,16 +96,42 @@ def _mean(chunks: np.ndarray, halves: np.ndarray) -> np.ndarray:
     return np.add.reduceat(chunks, np.cumsum(halves) - halves, axis=0) / halves[:, None]
 
 
-def probabilities(model: Model, texts: list[bytes]) -> np.ndarray:
-    if not texts:
-        return np.zeros(0)
-    rows, real, halves = _steps(texts)
-    _, _, chunks = _pooled(model, rows, real, halves)
-    logit = _mean(chunks, halves).astype(np.float64) @ model.out.astype(np.float64) + float(model.constant[0])
+def _long(model: Model, text: np.ndarray) -> np.ndarray:
+    """The mean of a long text's chunks, block by block: each looks two half-chunks ahead."""
+    half = STEP * HALF
+    n = -(-len(text) // half)
+    total = np.zeros(FILTERS)
+    for at in range(0, n, BLOCK_BYTES // half):
+        to = min(at + BLOCK_BYTES // half, n)
+        _, _, chunks = _pooled(model, *_steps([text[at * half : (to + 2) * half]]))
+        total += chunks[: to - at].sum(axis=0, dtype=np.float64)
+    return total / n
+
+
+def probabilities(model: Model, texts: list[np.ndarray]) -> np.ndarray:
+    """The probability of each text, an array of bytes, some BLOCK_BYTES at a time."""
+    out, own, size = [np.zeros((0, FILTERS))], [], 0
+    for t in [*texts, None]:
+        if own and (t is None or size + len(t) > BLOCK_BYTES):
+            rows, real, halves = _steps(own)
+            out.append(_mean(_pooled(model, rows, real, halves)[2], halves).astype(np.float64))
+            own, size = [], 0
+        if t is not None and len(t) > 2 * BLOCK_BYTES:
+            out.append(_long(model, t)[None])
+        elif t is not None:
+            own.append(t)
+            size += len(t)
+    logit = np.concatenate(out) @ model.out.astype(np.float64) + float(model.constant[0])
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
-def fit(texts: list[bytes], y: np.ndarray, epochs: int = 24, batch: int = 64, seed: int = 5) -> Model:
+def score_column(model: Model, column: pa.Array) -> np.ndarray:
+    """The probability of each text of an Arrow column; null is empty."""
+    buf, offsets = flat_texts(column)
+    return probabilities(model, [buf[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])
+
+
+def fit(texts: list[np.ndarray], y: np.ndarray, epochs: int = 24, batch: int = 64, seed: int = 5) -> Model:
     """Adam on the logistic loss; gradients pass through each chunk's maxima. Without both labels, a constant."""
     rng = np.random.default_rng(seed)
     scale = (2 / (2 * WIDTH)) ** 0.5
@@ -153,13 +183,13 @@ def score_with(documents: DataFrame, model: Model) -> DataFrame:
     """doc_id, score for every row, from the whole text; null and empty texts score as no bytes do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(probabilities(model, as_bytes(b.column(1))))], names=["doc_id", "score"])
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(score_column(model, b.column(1)))], names=["doc_id", "score"])
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def with_cuts(texts: list[bytes], y: np.ndarray, seed: int = 0) -> tuple[list[bytes], np.ndarray]:
+def with_cuts(texts: list[np.ndarray], y: np.ndarray, seed: int = 0) -> tuple[list[np.ndarray], np.ndarray]:
     """The sample, and a short cut of each good text, so that short good texts are known as such."""
     rng = np.random.default_rng(seed)
     cuts = []
@@ -174,8 +204,8 @@ def with_cuts(texts: list[bytes], y: np.ndarray, seed: int = 0) -> tuple[list[by
 def train(documents: DataFrame, labels: DataFrame) -> Model:
     """A model from labelled rows outside the held-out fold; only the text is an input."""
     open_rows = labels.where(fold(F.col("doc_id"), FOLDS) != HELD)
-    sample: pd.DataFrame = labelled_sample(documents, open_rows, "quality")
-    return fit(*with_cuts([t.encode() for t in sample["text"]], sample["y"].to_numpy()))
+    sample: pd.DataFrame = windows(labelled_documents(documents, open_rows, "quality")).toPandas()
+    return fit(*with_cuts([np.frombuffer(t.encode(), np.uint8) for t in sample["text"]], sample["y"].to_numpy()))
 
 
 def quality_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -194,17 +224,9 @@ def keep_good(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``documents`` that score at least 0.7, with all their columns."""
     model = train(documents, labels)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            out, own, size = [], [], 0
-            for t in texts:
-                own.append((t or "").encode())
-                size += len(own[-1])
-                if size > 1 << 20:
-                    out.append(probabilities(model, own))
-                    own, size = [], 0
-            out.append(probabilities(model, own))
-            yield pd.Series(np.concatenate(out))
+            yield pa.array(score_column(model, texts))
 
     return documents.where(score(F.col("text")) >= THRESHOLD)

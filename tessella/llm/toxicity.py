@@ -10,7 +10,7 @@ over the buckets present: the pair term is what an additive model lacks, and let
 an insult weigh more beside a group's name than alone. An L1 step keeps buckets
 that say nothing at exactly zero, so long clean texts gather no noise.
 
-Fitting takes a bounded sample to the driver; scoring runs in batches on the
+Fitting takes the buckets of a bounded sample to the driver; scoring runs in batches on the
 executors over every word of every text.
 """
 
@@ -23,14 +23,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.labels import fold, labelled_sample
+from tessella.llm.labels import fold, labelled_documents
+from tessella.llm.scratch import Scratch
 from tessella.llm.textkit import slices
 
 BUCKETS, RANK = 1 << 20, 4
-STEMS = (4, 5, 6)
+STEMS, STEM = (4, 5, 6), 5
+SAMPLE_TERMS = 8_000_000
+TOXIC_WEIGHT = 2.0
 FOLDS, HELD, THRESHOLD = 3, 1, 0.7
 MIN_Z, PAIR_Z = 2.5, 5.0
 PULL = 1e-3
@@ -76,41 +79,34 @@ def _contrast(cells: list[np.ndarray]) -> np.ndarray:
     return np.abs(sum(s * x for s, x in zip(sign, log, strict=True))) / np.sqrt(sum(1 / (c + 0.5) for c in cells))
 
 
-def _telling(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
-    """Buckets that tell: by themselves, or beside another bucket where neither does.
+def _pairs(docs: list[np.ndarray], y: np.ndarray, n_terms: int) -> np.ndarray:
+    """Of terms numbered below n_terms, those that tell beside another where neither does alone.
 
-    By itself a bucket must be MIN_Z standard errors from nothing. Of all others,
-    both of a pair are taken if the pair's presence is PAIR_Z standard errors
+    Both of a pair are taken if the pair's presence is PAIR_Z standard errors
     further from nothing than the two together, or if it shifts the odds by as
-    much against one of them alone. Only buckets and pairs in so few texts that
-    their presence could not reach PAIR_Z stay out.
+    much against one of them alone. Only terms and pairs in so few texts that
+    their presence could not reach PAIR_Z stay out, however frequent or rare.
     """
-    seen = np.unique(np.concatenate(docs))
-    at = [np.searchsorted(seen, d) for d in docs]
     n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
-    pos, neg = (np.bincount(np.concatenate([d for d, v in zip(at, y, strict=True) if v == k]), minlength=len(seen)) for k in (1, 0))
-    alone = np.flatnonzero(np.abs(_z(pos, neg, n_pos, n_neg)) >= MIN_Z)
-    # At best all texts with a bucket are of one label, and the pair is in them.
+    pos, neg = (np.bincount(np.concatenate([d for d, v in zip(docs, y, strict=True) if v == k]), minlength=n_terms) for k in (1, 0))
+    # At best all texts with a term are of one label, and the pair is in them.
     k = np.arange(max(n_pos, n_neg) + 1)
     best = np.maximum(_gap(np.minimum(k, n_pos), 0 * k, n_pos, n_neg), _gap(0 * k, np.minimum(k, n_neg), n_pos, n_neg))
     few = (np.flatnonzero(best >= PAIR_Z).tolist() or [len(docs) + 1])[0]
     often = np.flatnonzero(pos + neg >= few)
     # Rare ones first, so that frequent ones have little left to be counted with.
     often = often[np.argsort((pos + neg)[often], kind="stable")]
-    rank = np.full(len(seen), -1)
+    rank = np.full(n_terms, -1)
     rank[often] = np.arange(len(often))
-    ranked = [np.sort(rank[d][rank[d] >= 0]).astype(np.int32) for d in at]
-    del at
+    ranked = [np.sort(rank[d][rank[d] >= 0]).astype(np.int32) for d in docs]
     cols = np.concatenate(ranked)
     order = np.argsort(cols, kind="stable")
     starts = np.searchsorted(cols[order], np.arange(len(often) + 1))
-    del cols
     rows = np.repeat(np.arange(len(ranked), dtype=np.int32), [len(r) for r in ranked])[order]
     after = np.concatenate([np.arange(1, len(r) + 1, dtype=np.int32) for r in ranked])[order]
-    del order
-    pos_often, neg_often = pos[often], neg[often]
-    single = _gap(pos_often, neg_often, n_pos, n_neg)
-    taken = np.zeros(len(seen), bool)
+    pos, neg = pos[often], neg[often]
+    single = _gap(pos, neg, n_pos, n_neg)
+    taken = np.zeros(n_terms, bool)
     for a in range(len(often)):
         rest = ([], [])
         here = slice(starts[a], starts[a + 1])
@@ -121,23 +117,43 @@ def _telling(docs: list[np.ndarray], y: np.ndarray) -> np.ndarray:
         b = at_least + a
         both = [m[at_least] for m in both]
         far = _gap(*both, n_pos, n_neg) - single[a] - single[b]
-        cells = [[m, c[a] - m, c[b] - m, n - c[a] - c[b] + m] for m, c, n in zip(both, (pos_often, neg_often), (n_pos, n_neg), strict=True)]
+        cells = [[m, c[a] - m, c[b] - m, n - c[a] - c[b] + m] for m, c, n in zip(both, (pos, neg), (n_pos, n_neg), strict=True)]
         tells = (far >= PAIR_Z) | (_contrast([x for pair in zip(*cells, strict=True) for x in pair]) >= PAIR_Z)
         if tells.any():
             taken[often[b[tells]]] = taken[often[a]] = True
-    taken[alone] = True
-    return seen[taken]
+    return np.flatnonzero(taken)
+
+
+def _telling(docs: list[np.ndarray], words: list[np.ndarray], stems: list[np.ndarray], y: np.ndarray) -> np.ndarray:
+    """Buckets that tell: by themselves, MIN_Z standard errors from nothing, or in a pair of words or of stems."""
+    seen = np.unique(np.concatenate(docs))
+    n_pos, n_neg = int((y == 1).sum()), int((y == 0).sum())
+    pos, neg = (np.bincount(np.searchsorted(seen, np.concatenate([d for d, v in zip(docs, y, strict=True) if v == k])), minlength=len(seen)) for k in (1, 0))
+    taken = [seen[np.abs(_z(pos, neg, n_pos, n_neg)) >= MIN_Z]]
+    for terms in (words, stems):
+        own = np.unique(np.concatenate(terms))
+        if len(own):
+            taken.append(own[_pairs([np.searchsorted(own, t) for t in terms], y, len(own))])
+    return np.unique(np.concatenate(taken))
+
 
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct buckets of a text: of all terms, of its words alone, and of their stems of STEM letters."""
+    own = [buckets_of(w) for w in words_of(text)]
+    middle = 1 + STEMS.index(STEM)
+    parts = ([b for x in own for b in x], [x[0] for x in own], [x[middle] for x in own if len(x) > middle])
+    return tuple(np.unique(np.array(p, np.int32)) for p in parts)
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 15, batch: int = 64, l1: float = 1e-3, seed: int = 9) -> Model:
-    """Proximal Adam on the logistic loss, labels weighted alike. Without both labels, a constant."""
+
+def fit(terms: list[tuple[np.ndarray, np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 15, batch: int = 64, l1: float = 1e-3, seed: int = 9) -> Model:
+    """Proximal Adam on the logistic loss of texts known by ``terms_of``; toxic ones weigh TOXIC_WEIGHT times the others together. Without both labels, a constant."""
     if len(set(y.tolist())) < 2:
         return Model({1: 4.0}.get(int(y[0]) if len(y) else 0, -4.0), {}, np.zeros(0), np.zeros((0, RANK)))
-    docs = [np.unique(np.array([b for w in words_of(t) for b in buckets_of(w)], dtype=np.int64)) for t in texts]
-    seen = _telling(docs, y)
+    docs, words, stems = (list(x) for x in zip(*terms, strict=True))
+    seen = _telling(docs, words, stems, y)
     docs = [np.searchsorted(seen, d[np.isin(d, seen, assume_unique=True)]) for d in docs]
     share = (y == 1).mean()
-    weight = np.where(y == 1, 0.5 / share, 0.5 / (1 - share))
+    weight = np.where(y == 1, TOXIC_WEIGHT / share, 1 / (1 - share)) / (1 + TOXIC_WEIGHT)
     rng = np.random.default_rng(seed)
     w, v, c = np.zeros(len(seen)), rng.normal(0, 0.1, (len(seen), RANK)), np.zeros(1)
     state = [(np.zeros_like(x), np.zeros_like(x)) for x in (w, v, c)]
@@ -200,10 +216,32 @@ def score_with(documents: DataFrame, model: Model) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")
 
 
-def train(documents: DataFrame, labels: DataFrame) -> Model:
+def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in slices(batches):
+        found = [terms_of(t) for t in b.column(1).to_pylist()]
+        cols = [pa.array([f[k] for f in found], pa.list_(pa.int32())) for k in range(3)]
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), *cols], names=["doc_id", "y", "all", "words", "stems"])
+
+
+def train(documents: DataFrame, labels: DataFrame, most: int = SAMPLE_TERMS) -> Model:
+    """A model from labelled rows outside the held-out fold.
+
+    The executors turn whole texts into buckets. Of the bounded sample
+    (``labels.PER_CLASS`` rows a label) rows come to the driver, in the order of a
+    hash, as long as each label's have ``most`` buckets together at most.
+    """
     open_rows = labels.where(fold(F.col("doc_id"), FOLDS) != HELD)
-    sample = labelled_sample(documents, open_rows, "toxic")
-    return fit(sample["text"].tolist(), sample["y"].to_numpy())
+    rows = labelled_documents(documents, open_rows, "toxic").select("doc_id", "text", "y")
+    found = rows.mapInArrow(_terms, "doc_id long, y int, all array<int>, words array<int>, stems array<int>")
+    # Of several texts of one id, one counts.
+    found = found.groupBy("doc_id").agg(F.min(F.struct("y", "all", "words", "stems")).alias("r")).select("doc_id", "r.*")
+    found = Scratch(documents.sparkSession, "toxic").keep(found, "sample")
+    # At most 2 * PER_CLASS rows: a window of one task.
+    upto = Window.partitionBy("y").orderBy(F.xxhash64(F.lit(13), "doc_id"), "doc_id")
+    kept = found.select("doc_id", (F.sum(F.size("all") + F.size("words") + F.size("stems")).over(upto) <= most).alias("in")).where("in").select("doc_id")
+    sample = found.join(F.broadcast(kept), "doc_id").orderBy("doc_id").toArrow()
+    terms = [tuple(x.values.to_numpy() for x in own) for own in zip(*(sample.column(c) for c in ("all", "words", "stems")), strict=True)]
+    return fit(terms, sample.column("y").to_numpy())
 
 
 def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:

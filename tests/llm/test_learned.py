@@ -2,6 +2,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 
 from llm.helpers import DOCS, docs_frame, prose
 from tessella.llm import labels, quality, toxicity
@@ -41,10 +42,10 @@ def test_quality_held_out_and_whole_texts(spark):
     assert one[1002] >= 0.7
 
 
-def test_quality_reads_every_byte():
+def test_quality_reads_every_byte(monkeypatch):
     rng = np.random.default_rng(0)
     model = quality.Model(rng.normal(size=(quality.WIDTH, quality.FILTERS)).astype(np.float32), rng.normal(size=(quality.WIDTH, quality.FILTERS)).astype(np.float32), np.zeros(quality.FILTERS, np.float32), rng.normal(size=quality.FILTERS).astype(np.float32), np.zeros(1, np.float32))
-    texts = [b"", b"x", b"hello world " * 3, b"A!" * 400, "é".encode() * 999]
+    texts = [b"", b"x", b"hello world " * 3, b"A!" * 400, "é".encode() * 999, rng.integers(0, 256, 2048).astype(np.uint8).tobytes(), rng.integers(32, 127, 9000).astype(np.uint8).tobytes()]
 
     def slow(t):
         halves = max(1, -(-len(t) // (quality.STEP * quality.HALF)))
@@ -62,9 +63,34 @@ def test_quality_reads_every_byte():
         v = chunks.mean(axis=0) @ model.out
         return 1 / (1 + np.exp(-np.clip(v, -30, 30)))
 
-    alone = np.array([quality.probabilities(model, [t])[0] for t in texts])
-    assert np.allclose(alone[:-1], [slow(t) for t in texts[:-1]], atol=1e-4)
-    assert np.allclose(quality.probabilities(model, texts)[:-1], alone[:-1], atol=1e-4)
+    arrays = [np.frombuffer(t, np.uint8) for t in texts]
+    alone = np.array([quality.probabilities(model, [t])[0] for t in arrays])
+    assert np.allclose(alone, [slow(t) for t in texts], atol=1e-4)
+    assert np.allclose(quality.probabilities(model, arrays), alone, atol=1e-4)
+    assert np.allclose(quality.score_column(model, pa.array([None, *(t.decode("latin-1") for t in texts[:4])])[1:]), alone[:4], atol=1e-4)
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 1024)
+    assert np.allclose(quality.probabilities(model, arrays), alone, atol=1e-4)
+
+
+def test_quality_memory_on_a_long_text():
+    """A text of 200 MB takes little beside itself."""
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np, pyarrow as pa
+from tessella.llm import quality
+w, f = quality.WIDTH, quality.FILTERS
+rng = np.random.default_rng(0)
+model = quality.Model(*(rng.normal(size=s).astype(np.float32) for s in ((w, f), (w, f), f, f, 1)))
+quality.score_column(model, pa.array(["warm up " * 50000]))
+column = pa.array(["0123456789abcde " * (200 << 16)], pa.large_string())
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+quality.score_column(model, column)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before) / 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True)
+    assert float(out.stdout) < 60
 
 
 def test_toxicity_learns_pairs_that_add_nothing_alone():
@@ -76,7 +102,7 @@ def test_toxicity_learns_pairs_that_add_nothing_alone():
         rng.shuffle(words)
         texts.append(" ".join(words))
         y.append(int(insult == group))  # no single word tells
-    model = toxicity.fit(texts[:1200], np.array(y[:1200]))
+    model = toxicity.fit([toxicity.terms_of(t) for t in texts[:1200]], np.array(y[:1200]))
     score = toxicity.Scorer(model)
     right = np.mean([(score(t) > 0.5) == bool(v) for t, v in zip(texts[1200:], y[1200:], strict=True)])
     assert right > 0.95
@@ -93,7 +119,7 @@ def test_toxicity_learns_a_rare_pair_among_many_words():
         texts.append(" ".join(words))
         y.append(int(kind == "both") if kind else k % 8 % 2 ^ 1)  # no single word tells
         marked.append(bool(kind))
-    model = toxicity.fit(texts[:1800], np.array(y[:1800]))
+    model = toxicity.fit([toxicity.terms_of(t) for t in texts[:1800]], np.array(y[:1800]))
     assert {b for w in ("clodpate", "zorbian") for b in toxicity.buckets_of(w)[:1]} <= set(model.rows)
     score = toxicity.Scorer(model)
     tests = [(score(t) > 0.5) == bool(v) for t, v, m in zip(texts[1800:], y[1800:], marked[1800:], strict=True) if m]
@@ -142,7 +168,12 @@ def test_no_labels_and_no_rows(spark):
 def test_sample_is_bounded_and_skips_conflicts(spark):
     docs = docs_frame(spark, [(k, f"text {k}", "a") for k in range(50)])
     marks = spark.createDataFrame([(k, k % 2, 0, "") for k in range(50)] + [(4, 1, 0, ""), (6, 0, 0, "")], LABELS)
-    s = labels.labelled_sample(docs, marks, "quality", per_class=5)
+    s = labels.windows(labels.labelled_documents(docs, marks, "quality", per_class=5)).toPandas()
     assert sorted(s["y"]) == [0] * 5 + [1] * 5
-    s = labels.labelled_sample(docs, marks, "quality", per_class=100)
+    s = labels.windows(labels.labelled_documents(docs, marks, "quality", per_class=100)).toPandas()
     assert len(s) == 49 and "text 4" not in set(s["text"])
+    long = docs_frame(spark, [(k, f"{k:03d}" * 3000, "a") for k in range(50)] + [(3, "another", "b"), (5, None, "b")])
+    s = labels.windows(labels.labelled_documents(long, marks, "quality", per_class=20), chars=100).toPandas()
+    assert len(s) == 40 and set(s["text"].str.len()) <= {100, len("another")}
+    few = labels.labelled_documents(docs, marks, "quality", per_class=3)
+    assert sorted(few.toPandas()["y"]) == [0] * 3 + [1] * 3 and sorted(few.collect()) == sorted(few.collect())
