@@ -6,17 +6,18 @@ or repeated, and text slots. It is inferred by iterative alignment. A page is a
 wrapper at first, its runs of like siblings folded into one repeated item. Two
 wrappers are aligned level by level along a longest common sequence of their items
 (tag and class); items on one side only become optional, aligned ones are merged
-below, text against text is a slot.
+below, text against other text is a slot; text that is the same on most pages of
+the host is template.
 
 Pages with the same folded form are counted once before anything is merged, so a
-host with a third of all pages is merged from its few forms, in salted groups
-first and then per host.
+host with a third of all pages is merged from its few forms, in a tree of salted
+groups. Which texts are template is counted per host and text, pre-aggregated.
 
 The wrapper decides, per host, which of its elements may hold the main text: the
 article, main or content elements, and the elements that hold most text in
 paragraphs. A page's text stands below the first of them that it holds, without menus, headers, footers, asides, forms, scripts, notices,
-adverts and comments, told by tag, role, class and id. A page is then read along
-its host's wrapper.
+adverts and comments, told by tag, role, class and id, and without what the
+template has, whatever it is named. A page is then read along its host's wrapper.
 """
 
 from __future__ import annotations
@@ -24,8 +25,11 @@ from __future__ import annotations
 import html as html_lib
 import json
 import re
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,7 +38,10 @@ from pyspark.sql import functions as F
 from tessella.llm.scratch import Scratch
 from tessella.llm.textkit import slices
 
-SALT = 16
+SALTS = (256, 16)
+DEPTH = 60  # elements deeper than this have no place of their own in a wrapper; their text belongs to the one above
+FOLD_AT = 40
+TEMPLATE_PAGES, TEMPLATE_SHARE = 4, 0.5
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title noscript iframe template xmp".split())
@@ -156,41 +163,43 @@ def tokens(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def walk(page: str) -> Iterator[tuple[str, str, str]]:
-    """Tokens with implied ends put in: open and close come in pairs, text in between."""
+    """Tokens with implied ends put in: open and close come in pairs, text in between. Each token takes constant time, however deep."""
     stack: list[tuple[str, str]] = []
+    at: dict[str, list[int]] = defaultdict(list)  # where elements of a name are open
+    blocks: list[int] = []  # where blocks other than p are open
+
+    def last(name: str) -> int:
+        return at[name][-1] if at[name] else -1
 
     def close_to(depth: int):
         while len(stack) > depth:
+            name = stack[-1][0]
+            at[name].pop()
+            if blocks and blocks[-1] == len(stack) - 1:
+                blocks.pop()
             yield "close", *stack.pop()
 
     for kind, name, detail in tokens(page):
         if kind == "text":
             yield "text", "", detail
         elif kind == "start":
-            names = [s[0] for s in stack]
-            if name in _CLOSES_P and "p" in names:
-                yield from close_to(len(names) - 1 - names[::-1].index("p"))
+            if name in _CLOSES_P and at["p"]:
+                yield from close_to(last("p"))
             elif name in _ENDS:
-                ends, border = _ENDS[name]
-                depth = len(stack)
-                for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] in border:
-                        break
-                    if stack[i][0] in ends:
-                        depth = i
-                yield from close_to(depth)
+                ends, borders = _ENDS[name]
+                border = max(map(last, borders))
+                inside = [at[e][k] for e in ends if (k := bisect_right(at[e], border)) < len(at[e])]
+                yield from close_to(min(inside, default=len(stack)))
             yield "open", name, detail
             if name in _VOID:
                 yield "close", name, detail
             else:
+                at[name].append(len(stack))
+                if name in _BLOCKS and name != "p":
+                    blocks.append(len(stack))
                 stack.append((name, detail))
-        else:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    yield from close_to(i)
-                    break
-                if name not in _BLOCKS and stack[i][0] in _BLOCKS and stack[i][0] != "p":
-                    break
+        elif (own := last(name)) >= 0 and (name in _BLOCKS or not blocks or blocks[-1] < own):
+            yield from close_to(own)
     yield from close_to(0)
 
 
@@ -198,7 +207,10 @@ def walk(page: str) -> Iterator[tuple[str, str, str]]:
 
 
 def _fold(children: list) -> list:
-    """Runs of like siblings (of one item, or of two that alternate) become one repeated item each."""
+    """Runs of like siblings (of one item, or of two that alternate) become one repeated item each.
+
+    Among more than FOLD_AT items left, all of one label become one, at its first place.
+    """
     out: list = []
     for child in children:
         if out and out[-1][0] == child[0]:
@@ -210,7 +222,17 @@ def _fold(children: list) -> list:
             out[-2][1] |= flags
         else:
             out.append(child)
-    return out
+    if len(out) <= FOLD_AT:
+        return out
+    first: dict[str, list] = {}
+    for child in out:
+        if child[0] not in first:
+            first[child[0]] = child
+        else:
+            flags = first[child[0]][1] | (2 if child[0] != "#" else 0)
+            first[child[0]] = _merge(first[child[0]], child)
+            first[child[0]][1] |= flags
+    return list(first.values())
 
 
 def _align(a: list, b: list) -> list[tuple[int | None, int | None]]:
@@ -245,16 +267,23 @@ def _merge(a: list, b: list) -> list:
     return [a[0], a[1] | b[1], _fold(children)]
 
 
-def page_wrapper(page: str) -> list:
-    """The folded form of one page."""
+def page_wrapper(events: Iterable[tuple[str, str, str]]) -> list:
+    """The folded form of one page, from its tokens, down to DEPTH elements."""
     root: list = ["", 0, []]
     path = [root]
-    for kind, _, detail in walk(page):
+    deeper = 0
+    for kind, _, detail in events:
         if kind == "open":
+            if len(path) > DEPTH:
+                deeper += 1
+                continue
             node = [detail, 0, []]
             path[-1][2].append(node)
             path.append(node)
         elif kind == "close":
+            if deeper:
+                deeper -= 1
+                continue
             path[-1][2] = _fold(path[-1][2])
             path.pop()
         elif not detail.isspace():
@@ -352,12 +381,12 @@ class Regions:
         return self.by_path[path]
 
 
-def _read(events: list[tuple[str, str, str]], paths: dict[str, bool]) -> str:
-    """The text of a page's tokens in the paths kept."""
+def _blocks(events: Iterable[tuple[str, str, str]], paths: dict[str, bool] | None = None) -> list[str]:
+    """The texts of a page's blocks in the paths kept, or of all of them."""
     blocks: list[str] = []
     own: list[str] = []
-    path, open_paths = "", [""]
-    keep = [paths.get("", False)]
+    open_paths = [""]
+    keep = [paths is None or paths.get("", False)]
 
     def flush():
         if own and (text := " ".join("".join(own).split())):
@@ -373,31 +402,44 @@ def _read(events: list[tuple[str, str, str]], paths: dict[str, bool]) -> str:
                 flush()
             elif name == "br":
                 own.append(" ")
-            path = f"{open_paths[-1]}/{detail}"
+            # Below DEPTH, elements have no path of their own in the wrapper.
+            path = f"{open_paths[-1]}/{detail}" if len(open_paths) <= DEPTH else None
             open_paths.append(path)
-            keep.append(paths.get(path, keep[-1] and not _dropped(detail)))
+            inherited = keep[-1] if paths is None else keep[-1] and not _dropped(detail)
+            keep.append(paths.get(path, inherited) if paths is not None and path is not None else inherited)
         else:
             if name in _BLOCKS:
                 flush()
             open_paths.pop()
             keep.pop()
     flush()
-    return "\n".join(blocks)
+    return blocks
+
+
+def _read(events: list[tuple[str, str, str]], paths: dict[str, bool], template: frozenset[int] = frozenset()) -> str:
+    """The text of a page's tokens in the paths kept, without the blocks that belong to the template."""
+    blocks = _blocks(events, paths)
+    return "\n".join(b for b in blocks if _code(b) not in template) if template else "\n".join(blocks)
+
+
+def _code(text: str) -> int:
+    """A 64-bit hash of a block's text."""
+    return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def _paths(events: list[tuple[str, str, str]]) -> set[str]:
     here, found = [""], {""}
     for kind, _, detail in events:
         if kind == "open":
-            here.append(f"{here[-1]}/{detail}")
+            here.append(f"{here[-1]}/{detail}" if len(here) <= DEPTH else here[-1])
             found.add(here[-1])
         elif kind == "close":
             here.pop()
     return found
 
 
-def extract(page: str, regions: Regions) -> str:
-    """The main text of a page read along its host's wrapper.
+def extract(page: str, regions: Regions, template: frozenset[int] = frozenset()) -> str:
+    """The main text of a page read along its host's wrapper, less the texts of the host's template.
 
     The roots of the highest rank that the page holds count, unless those of a
     lower rank hold more than twice their text, as a main part beside a teaser
@@ -409,14 +451,14 @@ def extract(page: str, regions: Regions) -> str:
     held = _paths(events)
     text = ""
     for roots, kept in regions.named:
-        if roots & held and len(other := _read(events, kept)) > 2 * len(text):
+        if roots & held and len(other := _read(events, kept, template)) > 2 * len(text):
             text = other
     if text:
         return text
     for path in regions.heavy:
-        if path in held and (text := _read(events, regions.below(path))):
+        if path in held and (text := _read(events, regions.below(path), template)):
             return text
-    return _read(events, regions.below(""))
+    return _read(events, regions.below(""), template)
 
 
 def host_of(url: Column) -> Column:
@@ -424,12 +466,19 @@ def host_of(url: Column) -> Column:
     return F.coalesce(F.lower(F.regexp_extract(url, r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
 
 
+_FORMS = "host string, form string, page long, codes array<long>"
+
+
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "html"):
-        seen: dict[tuple, None] = {}
-        for host, page in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            seen[host, json.dumps(page_wrapper(page or ""), separators=(",", ":"))] = None
-        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in seen], pa.string()), pa.array([f for _, f in seen], pa.string())], names=["host", "form"])
+        forms, page_codes, codes = [], [], []
+        for page in b.column(1).to_pylist():
+            events = list(walk(page or ""))
+            forms.append(json.dumps(page_wrapper(events), separators=(",", ":")))
+            own = [_code(t) for t in _blocks(events)]
+            page_codes.append(_code(repr(own)))
+            codes.append(sorted(set(own)))
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(forms, pa.string()), pa.array(page_codes, pa.int64()), pa.array(codes, pa.list_(pa.int64()))], names=["host", "form", "page", "codes"])
 
 
 def _folded(keys: int):
@@ -458,27 +507,49 @@ def _folded(keys: int):
     return run
 
 
-def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """host, form: the wrapper of every host, from all its pages."""
-    forms = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_forms, "host string, form string").distinct()
-    salted = forms.select("host", F.pmod(F.xxhash64("form"), F.lit(SALT)).cast("long").alias("salt"), "form")
-    parts = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "form").mapInArrow(_folded(2), "host string, salt long, form string")
-    return parts.select("host", "form").repartition("host").sortWithinPartitions("host", "form").mapInArrow(_folded(1), "host string, form string")
+def page_forms(pages: DataFrame) -> DataFrame:
+    """host, form, a code of the page's whole text and the codes of its blocks, of every page."""
+    return pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_forms, _FORMS)
+
+
+def infer_wrappers(forms: DataFrame) -> DataFrame:
+    """host, form: the wrapper of every host, from all its pages' forms, merged in a tree."""
+    rows = forms.select("host", "form").distinct()
+    for width in SALTS:
+        salted = rows.select("host", F.pmod(F.xxhash64("form"), F.lit(width)).cast("long").alias("salt"), "form")
+        rows = salted.repartition("host", "salt").sortWithinPartitions("host", "salt", "form").mapInArrow(_folded(2), "host string, salt long, form string")
+    return rows.select("host", "form").repartition("host").sortWithinPartitions("host", "form").mapInArrow(_folded(1), "host string, form string")
+
+
+def templates(forms: DataFrame) -> DataFrame:
+    """host, template: the codes of block texts that are alike on most pages of a host.
+
+    Text aligned with the same text is template, with other text a slot. Pages with
+    the same text throughout count once, and a text is template if it stands on
+    TEMPLATE_PAGES of the different pages at least, and on more than TEMPLATE_SHARE of them all.
+    """
+    pages = forms.groupBy("host", "page").agg(F.first("codes").alias("codes"))
+    total = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    counts = pages.select("host", F.explode("codes").alias("code")).groupBy("host", "code").agg(F.count("*").alias("n")).where(F.col("n") >= TEMPLATE_PAGES)
+    common = counts.join(total, "host").where(F.col("n") > TEMPLATE_SHARE * F.col("pages"))
+    # A page of k blocks has its share of these rows: at most k / TEMPLATE_SHARE codes a host, for pages of k blocks.
+    return common.groupBy("host").agg(F.sort_array(F.collect_list("code")).alias("template"))
 
 
 _PARSED_LIMIT = 256
 
 
 def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    known: dict[str, Regions] = {}
+    known: dict[str, tuple[Regions, frozenset[int]]] = {}
     for b in slices(batches, "html"):
         out = []
-        for page, form in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), strict=True):
-            if form not in known:
+        for host, page, form, template in zip(*(b.column(k) for k in (5, 2, 3, 4)), strict=True):
+            name = host.as_py()
+            if name not in known:
                 if len(known) >= _PARSED_LIMIT:
                     known.clear()
-                known[form] = content_paths(json.loads(form))
-            out.append(extract(page or "", known[form]))
+                known[name] = content_paths(json.loads(form.as_py())), frozenset(template.as_py() or ())
+            out.append(extract(page.as_py() or "", *known[name]))
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.string()), pa.array([len(t) for t in out], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
 
@@ -486,11 +557,14 @@ def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of ``pages``.
 
     Null html is empty and has no text; a null or unreadable url belongs to the
-    host "" and its pages share a wrapper. Repeated rows come back each. Other
-    columns are not read.
+    host "" and its pages share a wrapper. Hosts of fewer than TEMPLATE_PAGES
+    different pages have no template; their pages are read by structure and names
+    alone. Repeated rows come back each. Other columns are not read.
     """
     scratch = Scratch(pages.sparkSession, "wrappers")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    wrappers = scratch.keep(infer_wrappers(rows), "wrappers")
+    forms = scratch.keep(page_forms(rows), "forms")
+    wrappers = scratch.keep(infer_wrappers(forms).join(templates(forms), "host", "left"), "wrappers")
+    scratch.drop("forms")
     with_host = rows.withColumn("host", host_of(F.col("url"))).join(wrappers, "host", "left")
-    return with_host.select("page_id", "url", "html", "form").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
+    return with_host.select("page_id", "url", "html", "form", "template", "host").mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")

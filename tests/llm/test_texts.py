@@ -208,13 +208,37 @@ def test_html_names_count_as_a_whole(spark):
 
 
 def test_wrappers_find_options_and_repeats():
-    page = lambda *parts: wrappers.page_wrapper("<ul>" + "".join(parts) + "</ul>")
+    page = lambda *parts: wrappers.page_wrapper(wrappers.walk("<ul>" + "".join(parts) + "</ul>"))
     li, hr = "<li>x</li>", "<hr>"
     w = wrappers.merge_wrappers(page(li, li), page(li, hr))
     assert wrappers.as_pattern(w) == "<ul> ( <li> #text </li> )+ ( <hr>  </hr> )? </ul>"
     assert wrappers.as_pattern(wrappers.merge_wrappers(w, page(li, li, li))) == wrappers.as_pattern(w)
 
 
+def test_html_template_goes_without_telling_names(spark):
+    page = lambda k: f"<div class=a1><b>MEGA MENU</b> home</div><div class=b2><p>Story {k} begins.</p><p>It goes on, {k * 7}.</p><p>Read our offer!</p></div><div class=c3>C 2020</div>"
+    rows = [(k, f"http://a.example/{k}", page(k)) for k in range(6)] + [(10, "http://a.example/x", page(3))]
+    # Few different pages have no template: copies of one page don't count as several.
+    rows += [(20 + k, "http://b.example/", page(k % 3)) for k in range(9)]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame([(*r, "a", "b", "c") for r in rows], PAGES)).collect()}
+    assert all(got[k] == f"Story {k} begins.\nIt goes on, {k * 7}." for k in range(6)) and got[10] == got[3]
+    assert all("Read our offer!" in got[20 + k] for k in range(9))
+    # Without its host's wrapper a page reads otherwise.
+    alone = wrappers.content_paths(wrappers.page_wrapper(wrappers.walk(page(1))))
+    assert wrappers.extract(page(1), alone) != got[1]
+
+
+def test_html_deep_and_wide_pages(spark):
+    deep = "<div>" * 100_000 + "<p>far down</p>" + "<li>x" * 20_000 + "</b></i>" * 20_000
+    wide = "<article>" + "".join(f"<h2>t{k}</h2><p>one {k}</p><ul><li>two {k}</ul><pre>three</pre>" for k in range(5000)) + "</article><div class=sidebar>no</div>"
+    odd = "<ul>" + "<li><b>x" * 20_000
+    rows = [(1, "http://a.example/", deep), (2, "http://b.example/", wide), (3, "http://c.example/", odd), (4, "http://b.example/2", "<article><p>" + "word " * 500_000 + "</article>")]
+    got = {r["page_id"]: r["text"] for r in wrappers.main_texts(spark.createDataFrame([(*r, "a", "b", "c") for r in rows], PAGES)).collect()}
+    assert got[1].split("\n") == ["far down"] + ["x"] * 20_000
+    assert got[2].split("\n") == [x for k in range(5000) for x in (f"t{k}", f"one {k}", f"two {k}", "three")]
+    assert got[3].split("\n") == ["x"] * 20_000 and got[4] == " ".join(["word"] * 500_000)
+
+
 def test_html_matches_the_article_on_whole_table(spark, sf):
     import html
     import re
