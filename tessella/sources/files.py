@@ -25,7 +25,7 @@ def read_blobs(spark: SparkSession, path: str) -> DataFrame:
 
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """value: each file whole."""
-    return spark.read.option("wholetext", True).text(path)
+    return spark.read.text(path, wholetext=True)
 
 
 def list_files(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
