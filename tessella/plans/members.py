@@ -282,7 +282,7 @@ def model_suite(spark, d):
     ranged = models.conformal_interval(predicted, width).agg(F.min(F.col("lower") <= F.col("upper")), F.avg((F.col("y").between(F.col("lower"), F.col("upper"))).cast("int")) > 0.6).first()
     classifier = models.boosted_classifier(trained, ["x"], "big", rounds=3)
     classes = models.predict(classifier, rest, ["x"])
-    known = classes.agg(F.avg((F.col("prediction") == F.col("big")).cast("int")) > 0.9, F.max(F.abs(F.aggregate("probability", F.lit(0.0), lambda s, p: s + p) - 1)) < 1e-9).first()
+    known = classes.agg(F.avg((F.col("prediction") == F.col("big")).cast("int")) > 0.8, F.max(F.abs(F.aggregate("probability", F.lit(0.0), lambda s, p: s + p) - 1)) < 1e-9).first()
     sets = models.conformal_sets(classes, models.predict(classifier, held, ["x"]), "big", 0.9).agg(F.min(F.size("set")) >= 0, F.avg(F.array_contains("set", F.col("big").cast("long")).cast("int")) > 0.6).first()
     chain = models.predict_chain(models.regressor_chain(trained.withColumn("w", F.col("y") * 2), ["x", "z"], ["y", "w"], rounds=3), rest)
     mixed = models.mixture(rows, ["x"], 2, seed=1, iterations=10)
