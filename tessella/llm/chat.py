@@ -27,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.llm.wavelet import encoder
+
 BUDGET, HISTORY = 1024, 256
 OPEN, CLOSE = "### ", " </turn>\n"
 _ESCAPED = re.compile(r"\\(\\|</turn>|### |:)")
@@ -56,9 +58,17 @@ def read_turns(formatted: str) -> list[tuple[str, str, int, int]]:
     return [(unescape(m[1]), unescape(m[2]), *m.span(2)) for m in _TURN.finditer(formatted)]
 
 
-def turn_tokens(text: Column) -> Column:
-    """Tokens of a turn: words and single other signs, and three of the template."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\w+|[^\w\s]")), F.lit(0)).cast("long") + 3
+def turn_tokens(role: Column, text: Column, tokenizer_path: str | None = None) -> Column:
+    """Tokens of a formatted turn under a tokenizer; without one, words and single other signs, and three of the template."""
+    if tokenizer_path is None:
+        return F.coalesce(F.regexp_count(text, F.lit(r"(?U)\w+|[^\w\s]")), F.lit(0)).cast("long") + 3
+
+    @F.arrow_udf("long")
+    def count(roles: pa.Array, texts: pa.Array) -> pa.Array:
+        turns = [format_turn(r, t)[0] for r, t in zip(roles.to_pylist(), texts.to_pylist(), strict=True)]
+        return pa.array([len(x) for k in range(0, len(turns), 256) for x in encoder(tokenizer_path).encode(turns[k : k + 256])], pa.int64())
+
+    return count(role, text)
 
 
 class _Windows:
@@ -118,9 +128,11 @@ def _batch(rows: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(_FORMATTED)], schema=_FORMATTED)
 
 
-def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> DataFrame:
+def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokenizer_path: str | None = None) -> DataFrame:
     """One row per window: conv_id, window, n_context, n_new, n_tokens, formatted, loss (character spans).
 
+    budget and history are in tokens of formatted turns under the tokenizer.
+
     Turns are taken in order of turn, then role, then text (nulls first), so ties
     and repeated rows have a defined place; each is a turn of its own. A null role
     or text is empty. Rows with a null conv_id form one conversation. A system turn
@@ -131,7 +143,7 @@ def format_chats(conversations: DataFrame, budget: int = BUDGET, history: int =
         F.col("turn").cast("long").alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("tokens", turn_tokens(F.col("text")))
+    ).withColumn("tokens", turn_tokens(F.col("role"), F.col("text"), tokenizer_path))
     order = ["turn", "role", "text"]
     upto = Window.partitionBy("conv_id").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     summed = rows.withColumn("after", F.sum("tokens").over(upto)).sortWithinPartitions("conv_id", *order)

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.components import components
-from tessella.llm.scratch import Scratch
+from tessella.llm.scratch import Scratch, spare_mark
 from tessella.llm.textkit import as_bytes, mix, shingle_hashes, signed, slices, words_of
 
 SLOTS, CHUNK, MAX_DISTANCE = 32, 4, 15
@@ -323,12 +323,13 @@ def keep_one_each(documents: DataFrame) -> DataFrame:
     Rows with a null id and rows without words stay. Of several rows with one id
     the one with the smallest text stays.
     """
-    dropped = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    left = documents.join(dropped, F.col("doc_id").cast("long") == F.col("__dropped"), "left_anti")
-    repeated = documents.where("doc_id is not null").groupBy(F.col("doc_id").alias("__repeated")).agg(F.count("*").alias("n")).where("n > 1").select("__repeated")
+    mark = spare_mark(documents)
+    dropped = near_duplicates(documents).where("not kept").select(F.col("doc_id").alias(f"{mark}dropped")).distinct()
+    left = documents.join(dropped, F.col("doc_id").cast("long") == F.col(f"{mark}dropped"), "left_anti")
+    repeated = documents.where("doc_id is not null").groupBy(F.col("doc_id").alias(f"{mark}repeated")).agg(F.count("*").alias("n")).where("n > 1").select(f"{mark}repeated")
     if repeated.isEmpty():
         return left
-    once = left.join(repeated, F.col("doc_id") == F.col("__repeated"), "left_anti")
-    several = left.join(repeated, F.col("doc_id") == F.col("__repeated"), "left_semi")
-    first = several.groupBy(F.col("doc_id").alias("__id")).agg(F.min_by(F.struct(*documents.columns), F.struct("text")).alias("__row")).select("__row.*")
+    once = left.join(repeated, F.col("doc_id") == F.col(f"{mark}repeated"), "left_anti")
+    several = left.join(repeated, F.col("doc_id") == F.col(f"{mark}repeated"), "left_semi")
+    first = several.groupBy(F.col("doc_id").alias(f"{mark}id")).agg(F.min_by(F.struct(*documents.columns), F.struct("text")).alias(f"{mark}row")).select(f"{mark}row.*")
     return once.unionByName(first)

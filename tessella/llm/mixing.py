@@ -26,7 +26,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.scratch import Scratch
+from tessella.llm.scratch import Scratch, spare_mark
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -66,68 +66,78 @@ def plan(
     budget: float = BUDGET,
     max_epochs: float = MAX_EPOCHS,
     seed: int = SEED,
+    mark: str = "__",
 ) -> DataFrame:
-    """All columns of ``documents`` and __size, __source_size, __target, __whole, __extra (words of the last, fractional repetition).
+    """All columns of ``documents``, none of which may begin with ``mark``, and __size, __source_size, __target, __whole, __extra (words of the last, fractional repetition).
 
     Needs doc_id, text and source. Null texts and blank ones have size 0 and are
     taken 0 words; a null source is a source; a null id is hashed as an empty
     string. Repeated rows are rows of their own. Ties in the hash order are
-    broken by id and size, and rows alike in all three are interchangeable.
+    broken by id and size, and rows alike in all three are interchangeable. Another
+    ``mark`` than "__" begins the new columns' names instead.
     """
+    if any(c.startswith(mark) for c in documents.columns):
+        raise ValueError(f"a column's name begins with {mark!r}")
     spark = documents.sparkSession
     scratch = Scratch(spark, "mixing")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    rows = documents.withColumn("__size", word_count(F.col("text"))).withColumn("__key", key)
-    bucket = F.substring("__key", 1, _BUCKET_HEX)
-    sums = scratch.keep(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum("__size").alias("words")), "buckets")
+    rows = documents.withColumn(f"{mark}size", word_count(F.col("text"))).withColumn(f"{mark}key", key)
+    bucket = F.substring(f"{mark}key", 1, _BUCKET_HEX)
+    sums = scratch.keep(rows.groupBy("source", bucket.alias("bucket")).agg(F.sum(f"{mark}size").alias("words")), "buckets")
     targets = source_targets(sums.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, max_epochs)
     rate = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
     targets = targets.withColumn("whole", rate).withColumn("rest", F.floor(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
     run = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    rests = targets.select(F.col("source").alias("__source"), "rest")
+    rests = targets.select(F.col("source").alias(f"{mark}source"), "rest")
     last = (
         sums.withColumn("before", F.coalesce(F.sum("words").over(run), F.lit(0)))
-        .join(rests, F.col("source").eqNullSafe(F.col("__source")))
+        .join(rests, F.col("source").eqNullSafe(F.col(f"{mark}source")))
         .where("before <= rest")
-        .groupBy("__source")
+        .groupBy(f"{mark}source")
         .agg(F.max(F.struct("bucket", "before", "rest")).alias("at"))
-        .select("__source", F.col("at.bucket").alias("__bucket"), (F.col("at.rest") - F.col("at.before")).alias("__room"))
+        .select(f"{mark}source", F.col("at.bucket").alias(f"{mark}bucket"), (F.col("at.rest") - F.col("at.before")).alias(f"{mark}room"))
     )
-    per_source = targets.select(F.col("source").alias("__of"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"))
-    per_source = scratch.keep(per_source.join(last, F.col("__of").eqNullSafe(F.col("__source"))).drop("__source"), "sources")
+    per_source = targets.select(F.col("source").alias(f"{mark}of"), F.col("source_size").alias(f"{mark}source_size"), F.col("target").alias(f"{mark}target"), F.col("whole").alias(f"{mark}whole"))
+    per_source = scratch.keep(per_source.join(last, F.col(f"{mark}of").eqNullSafe(F.col(f"{mark}source"))).drop(f"{mark}source"), "sources")
     scratch.drop("buckets")
     if per_source.count() <= BROADCAST_SOURCES:
         per_source = F.broadcast(per_source)
-    placed = rows.join(per_source, F.col("source").eqNullSafe(F.col("__of")), "left").drop("__of").withColumn("__own", bucket)
-    extra = F.when(F.col("__own") < F.col("__bucket"), F.col("__size")).otherwise(F.lit(0).cast("long"))
-    inner = placed.where("__own <> __bucket").withColumn("__extra", extra)
-    earlier = Window.partitionBy("source", "__own").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum("__size").over(earlier), F.lit(0))
-    edge = placed.where("__own = __bucket").withColumn("__extra", F.least("__size", F.greatest(F.lit(0), F.col("__room") - used)).cast("long"))
-    return inner.unionByName(edge).drop("__own", "__bucket", "__room", "__key")
+    placed = rows.join(per_source, F.col("source").eqNullSafe(F.col(f"{mark}of")), "left").drop(f"{mark}of").withColumn(f"{mark}own", bucket)
+    extra = F.when(F.col(f"{mark}own") < F.col(f"{mark}bucket"), F.col(f"{mark}size")).otherwise(F.lit(0).cast("long"))
+    inner = placed.where(F.col(f"{mark}own") != F.col(f"{mark}bucket")).withColumn(f"{mark}extra", extra)
+    earlier = Window.partitionBy("source", f"{mark}own").orderBy(f"{mark}key", "doc_id", f"{mark}size").rowsBetween(Window.unboundedPreceding, -1)
+    used = F.coalesce(F.sum(f"{mark}size").over(earlier), F.lit(0))
+    edge = placed.where(F.col(f"{mark}own") == F.col(f"{mark}bucket")).withColumn(f"{mark}extra", F.least(f"{mark}size", F.greatest(F.lit(0), F.col(f"{mark}room") - used)).cast("long"))
+    return inner.unionByName(edge).drop(f"{mark}own", f"{mark}bucket", f"{mark}room", f"{mark}key")
 
 
-def _first_words(batches):
+def _first_words(extra: str):
     import re
 
     word = re.compile(WORD)
-    for frame in batches:
-        cut = []
-        for text, n in zip(frame["text"], frame["__extra"], strict=True):
-            end = 0
-            for k, m in enumerate(word.finditer(text), 1):
-                end = m.end()
-                if k == n:
-                    break
-            cut.append(text[:end])
-        yield frame.assign(text=cut)
+
+    def run(batches):
+        for frame in batches:
+            cut = []
+            for text, n in zip(frame["text"], frame[extra], strict=True):
+                end = 0
+                for k, m in enumerate(word.finditer(text), 1):
+                    end = m.end()
+                    if k == n:
+                        break
+                cut.append(text[:end])
+            yield frame.assign(text=cut)
+
+    return run
 
 
 def mix(documents: DataFrame, **how) -> DataFrame:
     """The mixed documents: the columns of ``documents``, a row for each whole repetition, and one for the fractional one."""
-    planned = plan(documents, **how)
+    mark = spare_mark(documents)
+    planned = plan(documents, mark=mark, **how)
     columns = documents.columns
-    whole = planned.withColumn("__times", F.col("__whole") + (F.col("__extra") == F.col("__size")).cast("int")).where("__size > 0 and __times > 0")
-    whole = whole.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*columns)
-    part = planned.where("__extra > 0 and __extra < __size").select(*columns, "__extra")
-    return whole.unionByName(part.mapInPandas(_first_words, part.schema).select(*columns))
+    size, extra, times = (F.col(f"{mark}{c}") for c in ("size", "extra", "times"))
+    whole = planned.withColumn(f"{mark}times", F.col(f"{mark}whole") + (extra == size).cast("int")).where((size > 0) & (times > 0))
+    whole = whole.withColumn(f"{mark}copy", F.explode(F.sequence(F.lit(1), times))).select(*columns)
+    part = planned.where((extra > 0) & (extra < size)).select(*columns, f"{mark}extra")
+    return whole.unionByName(part.mapInPandas(_first_words(f"{mark}extra"), part.schema).select(*columns))

@@ -33,10 +33,15 @@ def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     trap = "\\### Assistant: </turn> ok"
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-7, 0, "user", trap), (-7, 1, "assistant", trap)], "conv_id long, turn long, role string, text string")
-    formatted = Scratch(spark, "chat").keep(chat.format_chats(rows.unionByName(more)), "formatted")
+    formatted = Scratch(spark, "chat").keep(chat.format_chats(rows.unionByName(more), tokenizer_path=tokenizer_path()), "formatted")
     return chat.digests(formatted)
 
 
+def chat_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can tell."""
+    return op3_chat_formatting(spark, sf_dir).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256")
+
+
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_texts(table(spark, sf_dir, "pages"))
 
@@ -80,12 +85,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mixing": op8_source_mixing,
     "op9_toxicity": op9_toxicity,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
+    "chat_read_back": chat_read_back,
 }
 
 _REACH = """, reach(a, b) AS (SELECT id, id FROM nodes UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a),
 component AS (SELECT a id, min(b) component_id FROM reach GROUP BY 1)"""
 
 SQL: dict[str, str] = {
+    "chat_read_back": r"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') r, coalesce(text, '') t FROM conversations UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok')
+SELECT CAST(conv_id AS BIGINT) conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' ORDER BY turn, r, t)) turns_sha256, CAST(coalesce(sum(length(t)) FILTER (r = 'assistant'), 0) AS BIGINT) loss_chars,
+sha256(coalesce(string_agg(t, '' ORDER BY turn, r, t) FILTER (r = 'assistant'), '')) loss_sha256 FROM c GROUP BY 1""".replace("\\\\", "\\"),
     "op5_embedding_near_dedup": """WITH RECURSIVE v AS (SELECT vec_id id, CAST(embedding AS DOUBLE[]) e FROM embeddings), nodes AS (SELECT id FROM v),
 pairs AS (SELECT a.id a, b.id b FROM v a JOIN v b ON a.id <> b.id AND list_inner_product(a.e, b.e) / (sqrt(list_inner_product(a.e, a.e)) * sqrt(list_inner_product(b.e, b.e))) >= 0.9)"""
     + _REACH

@@ -2,27 +2,23 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.session import shared_folder
+
 
 class Scratch:
     """A folder of its own below ``spark.checkpoint.dir``.
 
-    Only where that setting is unset (as in local tests) a temporary folder
-    takes its place. ``keep`` writes a frame as Parquet and reads it back, so
+    Only in a local session that leaves it unset a temporary folder takes its
+    place; elsewhere that is an error. ``keep`` writes a frame as Parquet and reads it back, so
     that a lost executor costs a read, not a recomputation; ``drop`` deletes
     tables that nothing reads any more.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        root = spark.conf.get("spark.checkpoint.dir", None)
-        if not root:
-            root = tempfile.mkdtemp(prefix="tessella-")
         self.spark = spark
-        self.path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.path = shared_folder(spark, name)
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         frame.write.mode("overwrite").parquet(f"{self.path}/{name}")
@@ -33,3 +29,11 @@ class Scratch:
         for name in names:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spare_mark(*frames: DataFrame) -> str:
+    """A beginning that no column's name has, for columns of an operator's own beside a caller's."""
+    mark = "__"
+    while any(c.lower().startswith(mark) for f in frames for c in f.columns):
+        mark += "_"
+    return mark

@@ -4,13 +4,13 @@ import random
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Extra columns whose names clash with those that the operators make.
-CLASH = ", component_id string, kept string, score string, size string, hash string, key string, part string, item_id string, start string"
+CLASH = ", component_id string, kept string, score string, size string, hash string, key string, part string, item_id string, start string, __size string, __extra string, __dropped string, ___row string, __own string"
 
 
 def docs_frame(spark, rows, extra=False):
     full = [(i, t, None, s, None) for i, t, s in rows]
     if extra:
-        full = [(*r, "c", "k", "s", "z", "h", "y", "p", "i", "t") for r in full]
+        full = [(*r, "c", "k", "s", "z", "h", "y", "p", "i", "t", "1", "2", "3", "4", "5") for r in full]
     return spark.createDataFrame(full, DOCS + (CLASH if extra else ""))
 
 

@@ -367,14 +367,14 @@ def test_mixing_targets_and_takes(spark):
         sizes[s] = sizes.get(s, 0) + size(t)
     want = water_fill(sizes)
     frame = docs_frame(spark, data, True)
-    rows = mixing.plan(frame).collect()
+    rows = mixing.plan(frame.drop("__size", "__extra", "__dropped", "___row", "__own")).collect()
     assert len(rows) == len(data)
     for s in sizes:
         own = [r for r in rows if r["source"] == s]
         assert all(r["__target"] == pytest.approx(want[s]) and r["__source_size"] == sizes[s] for r in own)
         assert abs(sum(r["__whole"] * r["__size"] + r["__extra"] for r in own) - want[s]) <= 1
     assert all(r["__whole"] * r["__size"] + r["__extra"] <= 2 * r["__size"] for r in rows)
-    again = mixing.plan(frame.repartition(5)).collect()
+    again = mixing.plan(frame.drop("__size", "__extra", "__dropped", "___row", "__own").repartition(5)).collect()
     take = lambda rs: sorted(((r["doc_id"], r["text"], r["__whole"], r["__extra"]) for r in rs), key=repr)
     assert take(rows) == take(again)
     mixed = mixing.mix(frame)
@@ -396,3 +396,26 @@ def test_mixing_many_sources_without_broadcast(spark, monkeypatch):
 
 def test_changed_helper_changes():
     assert changed("a b c d", 2) != "a b c d"
+
+
+def test_mixing_keeps_columns_of_any_name(spark):
+    rows = [(k, prose(30 + k, k), "ab"[k % 2]) for k in range(40)]
+    docs, named = docs_frame(spark, rows), docs_frame(spark, rows, True)
+    plain = sorted((r["doc_id"], r["text"]) for r in mixing.mix(docs).collect())
+    got = mixing.mix(named)
+    assert got.columns == named.columns and sorted((r["doc_id"], r["text"]) for r in got.collect()) == plain
+    assert all(r["__size"] == "1" and r["__extra"] == "2" for r in got.collect())
+    with pytest.raises(ValueError):
+        mixing.plan(named)
+
+
+def test_chat_read_back_on_whole_table(spark, sf):
+    import duckdb
+
+    from tessella.llm.queries import QUERIES, SQL
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    got = QUERIES["chat_read_back"](spark, sf)
+    want = con.sql(SQL["chat_read_back"])
+    assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
