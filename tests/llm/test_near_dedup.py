@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -152,6 +154,37 @@ def test_passages_of_frequent_phrases_are_found(spark, monkeypatch, block):
     assert {(r["start_word"], r["n_words"], r["other_start_word"], r["other_n_words"]) for r in got} == {(90, 60, 150, 60)}
 
 
+def test_passage_among_documents_that_hold_it_in_pieces(spark):
+    p = prose(60, 7).split(" ")
+    rows = [(500 + k, " ".join([prose(80, 10 + k), *p, prose(70, 20 + k)]), "a") for k in range(3)]
+    for k in range(80):
+        pieces = [x for at in range(0, 60, 12) for x in (*p[at : at + 12], prose(30, 1000 + 100 * k + at))]
+        rows.append((k if k < 40 else 1000 + k, " ".join([prose(30, 5000 + k), *pieces]), "b"))
+    got = substring_dedup.repeated_passages(docs_frame(spark, rows)).collect()
+    assert {i for r in got for i in (r["doc_id"], r["other_id"])} == {500, 501, 502}
+
+
+def test_recall_of_passages_among_frequent_lines(spark):
+    rng = random.Random(12)
+    lines = [prose(12, 90_000 + k) for k in range(6)]
+    rows, texts = [], {}
+    for g in range(30):
+        p = prose(60, 300 + g)
+        for k, every in enumerate((1000, 60, 50, 45)):
+            i = 10 * g + k
+            texts[i] = changed(p, every, i) if every < 1000 else p
+            around = [prose(rng.randint(20, 60), 7000 + i), rng.choice(lines), texts[i], rng.choice(lines), prose(rng.randint(20, 60), 8000 + i)]
+            rows.append((i, " ".join(around), "a"))
+    rows += [(2000 + k, " ".join([prose(60, 20_000 + k), *rng.sample(lines, 3), prose(50, 30_000 + k)]), "b") for k in range(120)]
+    got = substring_dedup.repeated_passages(docs_frame(spark, rows)).collect()
+    links = [(r["doc_id"], r["other_id"]) for r in got]
+    of = components([i for i, _, _ in rows], links)
+    sets = {i: shingles(t) for i, t in texts.items()}
+    alike = [(a, b) for a in sets for b in sets if a < b and a // 10 == b // 10 and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])]
+    assert len(alike) > 60 and np.mean([of[a] == of[b] for a, b in alike]) >= 0.97
+    assert all(a // 10 == b // 10 and a < 2000 for a, b in links)
+
+
 def best_likeness(a, b, span):
     """Largest similarity of any two stretches, one of ``span`` or more, from all of them."""
     best = 0.0
