@@ -139,6 +139,69 @@ def least_squares(df: DataFrame, features: Sequence[str], label: str) -> dict[st
     return {"intercept": float(beta[0]), **dict(zip(features, map(float, beta[1:]), strict=True))}
 
 
+def quantile_fit(df: DataFrame, features: Sequence[str], label: str, q: float, rounds: int = 25, floor: float = 1e-3) -> dict[str, float]:
+    """Linear quantile regression by iterated weighted least squares: each round one aggregate of sums of products.
+
+    A residual e weighs q / |e| above the line and (1 - q) / |e| below, |e| being at
+    least ``floor`` times the labels' spread. Gives coefficients and intercept.
+    """
+    import numpy as np
+
+    x = [F.lit(1.0), *(F.col(c).cast("double") for c in features)]
+    y = F.col(label).cast("double")
+    n = len(x)
+    beta = least_squares(df, features, label)
+    beta = np.array([beta["intercept"], *(beta[c] for c in features)])
+    least = floor * (df.agg(F.stddev_pop(y).alias("s")).first()["s"] or 1.0)
+    for _ in range(rounds):
+        error = y - sum((float(b) * c for b, c in zip(beta, x, strict=True)), F.lit(0.0))
+        w = F.when(error >= 0, F.lit(q)).otherwise(1 - q) / F.greatest(F.abs(error), F.lit(least))
+        parts = [F.sum(w * x[i] * x[j]) for i in range(n) for j in range(i, n)] + [F.sum(w * c * y) for c in x]
+        got = df.agg(*(p.alias(f"c{k}") for k, p in enumerate(parts))).first()
+        if got[0] is None:
+            break
+        square = np.zeros((n, n))
+        square[np.triu_indices(n)] = got[: n * (n + 1) // 2]
+        new = np.linalg.lstsq(np.triu(square) + np.triu(square, 1).T, np.array(got[n * (n + 1) // 2 :], float), rcond=None)[0]
+        moved, beta = np.abs(new - beta).max(), new
+        if moved < 1e-9 * (1 + np.abs(beta).max()):
+            break
+    return {"intercept": float(beta[0]), **dict(zip(features, map(float, beta[1:]), strict=True))}
+
+
+def quantile_predict(df: DataFrame, fitted: dict[float, dict[str, float]]) -> DataFrame:
+    """``quantiles``: the predicted value at each fitted q, in the order of q."""
+    line = lambda c: sum((v * F.col(k) for k, v in c.items() if k != "intercept"), F.lit(c["intercept"]))
+    return df.withColumn("quantiles", F.array(*(line(fitted[q]) for q in sorted(fitted))))
+
+
+def conformal_quantile_fit(trained: DataFrame, calibration: DataFrame, features: Sequence[str], label: str, confidence: float) -> tuple[dict[float, dict[str, float]], float]:
+    """Quantile lines on both sides, and how far calibration rows lie outside them at the (n + 1) * confidence / n quantile."""
+    fitted = {q: quantile_fit(trained, features, label, q) for q in ((1 - confidence) / 2, 0.5, (1 + confidence) / 2)}
+    rows = quantile_predict(calibration, fitted)
+    outside = F.greatest(F.get("quantiles", F.lit(0)) - F.col(label), F.col(label) - F.get("quantiles", F.lit(2)))
+    n = calibration.count()
+    share = min(1.0, -(-(n + 1) * confidence // 1) / n)
+    return fitted, rows.agg(F.percentile_approx(outside, share, 100_000).alias("w")).first()["w"]
+
+
+def conformal_quantile_interval(df: DataFrame, fitted: dict[float, dict[str, float]], width: float) -> DataFrame:
+    """lower, prediction, upper: the outer quantile lines moved by the calibrated width, and the median line."""
+    at = lambda k: F.get("quantiles", F.lit(k))
+    return quantile_predict(df, fitted).withColumns({"lower": at(0) - width, "prediction": at(1), "upper": at(2) + width}).drop("quantiles")
+
+
+def interval_uncertainty(predicted: DataFrame) -> DataFrame:
+    """``uncertainty`` of rows with lower and upper: the width between them."""
+    return predicted.withColumn("uncertainty", F.col("upper") - F.col("lower"))
+
+
+def class_uncertainty(predicted: DataFrame) -> DataFrame:
+    """``uncertainty`` of rows with class probabilities: their entropy over its most, 0 to 1."""
+    entropy = F.aggregate("probability", F.lit(0.0), lambda s, p: s - F.when(p > 0, p * F.ln(p)).otherwise(0.0))
+    return predicted.withColumn("uncertainty", F.when(F.size("probability") > 1, entropy / F.ln(F.size("probability"))).otherwise(0.0))
+
+
 #: Curve families in their usual parameters.
 CURVES = {
     "exponential_decay": lambda x, a, b: a * F.exp(-b * x),

@@ -66,12 +66,22 @@ def decode(df: DataFrame, encoder: DataFrame, column: str, name: str) -> DataFra
     return joined.withColumnRenamed("value", name)
 
 
-def ordinal_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    for c in columns:
-        df = encode(df, label_encoder(df, c), c, f"{c}_code")
+def ordinal_fit(df: DataFrame, columns: Sequence[str]) -> dict[str, DataFrame]:
+    """The fitted state: for each column its distinct values, numbered in order."""
+    return {c: label_encoder(df, c) for c in columns}
+
+
+def ordinal_apply(df: DataFrame, fitted: dict[str, DataFrame]) -> DataFrame:
+    """``<column>_code`` of each fitted column, in any rows; a value that the fit hasn't seen is an error."""
+    for c, encoder in fitted.items():
+        df = encode(df, encoder, c, f"{c}_code")
     return df
 
 
+def ordinal_encode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    return ordinal_apply(df, ordinal_fit(df, columns))
+
+
 def class_weight(df: DataFrame, column: str) -> DataFrame:
     """class, weight: n / (k * count of the class)."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("class")).agg(F.count("*").alias("n"))

@@ -295,6 +295,50 @@ def model_suite(spark, d):
     return spark.createDataFrame([tuple(map(bool, out))], ", ".join(f"{n} boolean" for n in names))
 
 
+def ordinal_codes_of_other_rows(spark, d):
+    """An encoder fitted on all customers, applied to those of one nation."""
+    from tessella.operators import preprocess
+
+    customers = T(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
+    fitted = preprocess.ordinal_fit(customers, ["c_mktsegment", "c_nationkey"])
+    return preprocess.ordinal_apply(customers.where("c_nationkey > 12"), fitted).select("c_custkey", F.col("c_mktsegment_code").alias("segment"), F.col("c_nationkey_code").alias("nation"))
+
+
+def quantile_suite(spark, d):
+    """Shares below fitted quantile lines, coverage and widths of calibrated intervals, bounds of uncertainty."""
+    rows = T(spark, d, "lineitem").select("l_orderkey", F.col("l_quantity").alias("x"), (F.col("l_quantity") * 10 + F.col("l_quantity") * (F.col("l_partkey") % 17)).alias("y"), (F.col("l_quantity") > 25).cast("int").alias("big"))
+    trained, held, rest = (rows.where(f"l_orderkey % 3 = {k}") for k in range(3))
+    fitted, width = models.conformal_quantile_fit(trained, held, ["x"], "y", 0.8)
+    below = models.quantile_predict(trained, fitted).agg(*(F.abs(F.avg((F.col("y") <= F.get("quantiles", F.lit(k))).cast("int")) - q) < 0.07 for k, q in enumerate(sorted(fitted)))).first()
+    ranged = models.interval_uncertainty(models.conformal_quantile_interval(rest, fitted, width))
+    inside = ranged.agg(F.abs(F.avg(F.col("y").between(F.col("lower"), F.col("upper")).cast("int")) - 0.8) < 0.07, F.corr("x", "uncertainty") > 0.9).first()
+    classes = models.class_uncertainty(models.predict(models.boosted_classifier(trained, ["x"], "big", rounds=2), rest, ["x"]))
+    bounds = classes.agg(F.min(F.col("uncertainty").between(0, 1.0000001))).first()[0]
+    return spark.createDataFrame([tuple(map(bool, (*below, *inside, bounds)))], "low boolean, median boolean, high boolean, covered boolean, wider boolean, bounded boolean")
+
+
+def blob_files(spark, d):
+    """Binary files written from rows and read back."""
+    top = shared_folder(spark, "blobs")
+    rows = T(spark, d, "nation").select(F.concat(F.col("n_nationkey").cast("string"), F.lit(".bin")).alias("name"), F.encode("n_name", "utf-8").alias("content"))
+    files.write_blobs(rows, top).count()
+    return files.read_blobs(spark, top).select(F.substring_index("path", "/", -1).alias("name"), F.decode("content", "utf-8").alias("text"), "length")
+
+
+def statement_results(spark, d):
+    """Statements of each kind and their result variants."""
+    from tessella.sources import sql
+
+    top = shared_folder(spark, "sql")
+    T(spark, d, "nation").createOrReplaceTempView("statement_nation")
+    made = sql.execute(spark, "CREATE OR REPLACE TEMP VIEW statement_few AS SELECT * FROM statement_nation WHERE n_regionkey = 1")
+    chosen = sql.execute(spark, "SELECT n_name, n_nationkey FROM statement_few WHERE n_nationkey < :most", {"most": 20})
+    put = sql.execute(spark, f"INSERT OVERWRITE DIRECTORY '{top}' USING parquet SELECT n_name FROM statement_few")
+    back = spark.read.parquet(top).select(F.lit("read").alias("tag"), F.col("n_name").alias("text"))
+    name = F.get(F.filter("cells", lambda c: c["key"] == "n_name"), F.lit(0))["value"]["String"]
+    return made.unionByName(put).unionByName(chosen).select("tag", name.alias("text")).unionByName(back)
+
+
 def _true(*names: str) -> str:
     return "SELECT " + ", ".join(f'TRUE AS "{n}"' for n in names)
 
@@ -345,5 +389,10 @@ l AS (SELECT * FROM u WHERE n_nationkey <> (SELECT min(n_nationkey) FROM u WHERE
 UNION ALL SELECT 'share', round(avg((l_tax * 100 - l_discount * 100) ** 2), 3), round(avg(abs(l_tax * 100 - l_discount * 100)), 5) FROM lineitem""",
     class_metrics_of_targets: """SELECT 'three' target, round(avg(CASE WHEN l_linenumber % 3 = l_suppkey % 3 THEN 1.0 ELSE 0.0 END), 6) accuracy FROM lineitem UNION ALL SELECT 'two', round(avg(CASE WHEN l_partkey % 2 = l_orderkey % 2 THEN 1.0 ELSE 0.0 END), 6) FROM lineitem""",
     curve_of_line: "SELECT 2.5::DOUBLE slope, 4.0::DOUBLE AS offset, TRUE AS close, TRUE AS success",
+    ordinal_codes_of_other_rows: """WITH s AS (SELECT c_mktsegment v, row_number() OVER (ORDER BY c_mktsegment) - 1 k FROM (SELECT DISTINCT c_mktsegment FROM customer)), n AS (SELECT c_nationkey v, row_number() OVER (ORDER BY c_nationkey) - 1 k FROM (SELECT DISTINCT c_nationkey FROM customer))
+SELECT c_custkey, s.k segment, n.k nation FROM customer JOIN s ON s.v = c_mktsegment JOIN n ON n.v = c_nationkey WHERE c_nationkey > 12""",
+    quantile_suite: _true("low", "median", "high", "covered", "wider", "bounded"),
+    blob_files: "SELECT n_nationkey || '.bin' AS name, n_name AS text, CAST(strlen(n_name) AS BIGINT) length FROM nation",
+    statement_results: """SELECT 'other' tag, NULL AS text UNION ALL SELECT 'insert', NULL UNION ALL SELECT 'select', n_name FROM nation WHERE n_regionkey = 1 AND n_nationkey < 20 UNION ALL SELECT 'read', n_name FROM nation WHERE n_regionkey = 1""",
     model_suite: _true("near", "ordered", "covered", "classes", "shares", "sized", "held", "chained", "criteria", "mass", "both_parts", "scores", "drawn", "drawn_mean"),
 }

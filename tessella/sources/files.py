@@ -9,6 +9,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,32 @@ def write_texts(df: DataFrame, path: str, append: bool = False) -> None:
     df.write.mode("append" if append else "overwrite").text(path)
 
 
+def write_blobs(df: DataFrame, folder: str) -> DataFrame:
+    """Each row's ``content`` as a file ``name`` in a folder of a store that Arrow knows; name and length of what was written.
+
+    A file is written beside its place and moved there, so a task that runs again
+    leaves whole files. The result must be read for the files to be written.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import uuid
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        for b in batches:
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                part = f"{root}/.{uuid.uuid4().hex}"
+                with store.open_output_stream(part) as out:
+                    out.write(content.as_buffer() if content.is_valid else b"")
+                store.move(part, f"{root}/{name}")
+            sizes = [len(c.as_buffer()) if c.is_valid else 0 for c in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64())], names=["name", "length"])
+
+    return df.select("name", "content").mapInArrow(run, "name string, length long")
+
+
 def _each(f):
     """A blob column function over batches; f is a small codec."""
 

@@ -60,6 +60,34 @@ def jdbc(spark: SparkSession, url: str, table_or_query: str, partition: tuple[st
     return reader.load()
 
 
+def write_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **options) -> int:
+    """Insert the rows into a database's table; the number of rows inserted."""
+    from pyspark.sql import Observation
+
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.format("jdbc").mode(mode).option("url", url).option("dbtable", table).options(**options).save()
+    return seen.get["n"]
+
+
+def execute(spark: SparkSession, text: str, args: list | dict | None = None) -> DataFrame:
+    """tag, rows_affected, cells: the result variant of any one statement of Spark SQL.
+
+    A statement that has rows (select, with, values, show, describe) gives a row of tag
+    "select" for each; an insert, update, delete or merge one row with its tag and the
+    number of rows its source reports, null where the source reports none; any other
+    statement one row of tag "other".
+    """
+    word = text.lstrip(" \t\r\n(").split(None, 1)[0].lower() if text.strip(" \t\r\n(") else ""
+    out = query(spark, text, args)
+    if word in ("select", "with", "values", "show", "describe", "desc", "table", "from"):
+        return cells(out).select(F.lit("select").alias("tag"), F.lit(None).cast("long").alias("rows_affected"), "cells")
+    counted = [c for c in out.columns if c.lower() in ("num_affected_rows", "num_inserted_rows", "count")]
+    n = out.first()[counted[0]] if counted else None
+    tag = word if word in ("insert", "update", "delete", "merge") else "other"
+    empty = cells(spark.range(0)).schema["cells"].dataType
+    return spark.range(1).select(F.lit(tag).alias("tag"), F.lit(n).cast("long").alias("rows_affected"), F.lit(None).cast(empty).alias("cells"))
+
+
 def page(df: DataFrame, order: list[str], offset: int = 0, limit: int | None = None) -> DataFrame:
     out = df.orderBy(*order).offset(offset)
     return out if limit is None else out.limit(limit)
