@@ -256,6 +256,5 @@ def group_fold(a: Column, key: Fn, initial: Fn, f: Fn) -> Column:
     from tessella.functions import dicts
 
     keyed = F.transform(a, lambda x, i: F.struct(_call(key, x, i).alias("k"), x.alias("x"), i.cast("long").alias("i")))
-    keys = F.array_sort(F.array_distinct(F.transform(keyed, lambda s: s["k"])))
     step = (lambda acc, s: f(acc, s["x"], s["i"])) if f.__code__.co_argcount >= 3 else (lambda acc, s: f(acc, s["x"]))
-    return dicts.entries(keys, lambda k: F.aggregate(F.filter(keyed, lambda s: s["k"].eqNullSafe(k)), initial(k), step))
+    return dicts.by_key(keyed, lambda s: s["k"], lambda k, own: F.aggregate(own, initial(k), step))

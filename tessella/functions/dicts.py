@@ -44,15 +44,39 @@ def to_map(d: Column) -> Column:
     return F.map_from_entries(d)
 
 
-def from_entries(pairs: Column, merge: Fn) -> Column:
-    """A dict of pairs in any order; merge(old, new, key) from the left where keys meet."""
-    ks = F.array_sort(F.array_distinct(F.transform(pairs, lambda e: e["key"])))
+def let(value: Column, body: Fn) -> Column:
+    """body(value), with value computed once, however often body reads it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def by_key(items: Column, key: Fn, value: Fn) -> Column:
+    """A dict of each distinct key(item) in order to value(key, its items in array order): one sort, one pass over its runs."""
+
+    def grouped(xs: Column) -> Column:
+        tagged = F.transform(xs, lambda x, i: F.struct(key(x).isNull().alias("none"), key(x).alias("k"), i.alias("i")))
+
+        def runs(s: Column) -> Column:
+            new = lambda i: (i == 0) | ~F.get(s, i)["k"].eqNullSafe(F.get(s, i - 1)["k"])
+            starts = F.filter(F.transform(s, lambda _, i: i), new)
 
-    def value(k: Column) -> Column:
-        own = F.transform(F.filter(pairs, lambda e: e["key"].eqNullSafe(k)), lambda e: e["value"])
-        return F.reduce(F.slice(own, 2, F.greatest(F.size(own) - 1, F.lit(0))), F.get(own, F.lit(0)), lambda old, new: merge(old, new, k) if merge.__code__.co_argcount >= 3 else merge(old, new))
+            def cut(at: Column) -> Column:
+                part = lambda b, j: F.slice(s, b + 1, F.coalesce(F.get(at, j + 1), F.size(s)) - b)
+                own = lambda run: F.transform(run, lambda r: F.get(xs, r["i"]))
+                return F.transform(at, lambda b, j: let(part(b, j), lambda run: _entry(F.get(run, F.lit(0))["k"], value(F.get(run, F.lit(0))["k"], own(run)))))
 
-    return entries(ks, value)
+            return let(starts, cut)
+
+        return let(F.array_sort(tagged), runs)
+
+    return let(items, grouped)
+
+
+def from_entries(pairs: Column, merge: Fn) -> Column:
+    """A dict of pairs in any order; merge(old, new, key) from the left where keys meet."""
+    joined = lambda k: (lambda old, new: merge(old, new, k)) if merge.__code__.co_argcount >= 3 else merge
+    values = lambda own: F.transform(own, lambda e: e["value"])
+    fold = lambda k, vs: F.reduce(F.slice(vs, 2, F.greatest(F.size(vs) - 1, F.lit(0))), F.get(vs, F.lit(0)), joined(k))
+    return by_key(pairs, lambda e: e["key"], lambda k, own: let(values(own), lambda vs: fold(k, vs)))
 
 
 def generate(n, key: Fn, value: Fn, merge: Fn) -> Column:
@@ -227,7 +251,5 @@ def flatten_to_dict(d: Column, f: Fn, merge: Fn) -> Column:
 
 def group_fold(d: Column, key: Fn, initial: Fn, f: Fn) -> Column:
     """Entries grouped by key(value, key), f(acc, value, key) folded in key order from initial(group)."""
-    keyed = F.transform(d, lambda e: F.struct(_call(key, e).alias("k"), e.alias("e")))
-    groups = F.array_sort(F.array_distinct(F.transform(keyed, lambda s: s["k"])))
-    step = lambda acc, s: f(acc, s["e"]["value"], s["e"]["key"]) if f.__code__.co_argcount >= 3 else f(acc, s["e"]["value"])
-    return entries(groups, lambda g: F.aggregate(F.filter(keyed, lambda s: s["k"].eqNullSafe(g)), initial(g), step))
+    step = lambda acc, e: f(acc, e["value"], e["key"]) if f.__code__.co_argcount >= 3 else f(acc, e["value"])
+    return by_key(d, lambda e: _call(key, e), lambda g, own: F.aggregate(own, initial(g), step))
