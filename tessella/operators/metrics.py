@@ -136,39 +136,84 @@ def log_loss(y: Column, p: Column, eps: float = 2.220446049250313e-16) -> Column
     return -F.avg(F.when(y == 1, F.ln(q)).otherwise(F.ln(1 - q)))
 
 
-def silhouette(df: DataFrame, features: str, label: str, row_id: str, block: int = 1024) -> DataFrame:
-    """Mean Euclidean silhouette. Quadratic by definition: blocks of rows meet blocks of rows, and only sums per row and cluster leave a task."""
+def silhouette(df: DataFrame, features: str, label: str, row_id: str, left: int = 1 << 15, right: int = 1 << 17) -> DataFrame:
+    """Mean Euclidean silhouette. Quadratic by definition: at most about ``left`` rows meet ``right`` rows in a task, and only sums per row and cluster leave it.
+
+    A row without label or features, or alone in its cluster, counts 0; no cluster but its own has rows without label.
+    """
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(label).cast("long").alias("c"), F.col(features).cast("array<double>").alias("x"))
+    n = rows.count()
+    # Small tables are still cut for some tasks; larger ones by size.
+    down, across = max(1, min(24, -(-n // 1024)), -(-n // left)), max(1, -(-n // right))
+    dealt = lambda parts: F.pmod(F.xxhash64("id"), F.lit(parts))
+    every = lambda parts: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))
+    known = rows.where("c is not null")
+    mine = known.where("x is not null").select(dealt(down).alias("i"), every(across).alias("j"), F.lit(0).alias("side"), "id", "c", "x")
+    theirs = known.select(every(down).alias("i"), dealt(across).alias("j"), F.lit(1).alias("side"), "id", "c", "x")
+    cells = mine.unionByName(theirs).select((F.col("i") * across + F.col("j")).cast("int").alias("cell"), "side", "id", "c", "x")
+
+    def matrix(col) -> np.ndarray:
+        held = col.drop_null()
+        sizes = np.unique(pc.list_value_length(held).to_numpy(zero_copy_only=False))
+        if len(sizes) > 1:
+            raise ValueError(f"feature vectors of unlike length: {sizes.tolist()}")
+        return held.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held), -1)
 
-    n = df.count()
-    blocks = max(1, -(-n // block))
-    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(label).cast("long").alias("c"), F.col(features).cast("array<double>").alias("x")).withColumn("b", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-
-    def pack(batches):
-        t = pa.Table.from_batches(batches)
-        at = t.column("b").to_numpy()
-        for k in np.unique(at):
-            own = t.filter(pa.array(at == k))
-            x = np.array(own.column("x").to_pylist(), np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([int(k)]), *(pa.array([v.tobytes()]) for v in (own.column("id").to_numpy(), own.column("c").to_numpy(), x))], names=["b", "ids", "cs", "xs"])
+    def sums(batches):
+        cell, held, done = None, [], {}
 
-    packed = rows.repartition(blocks, "b").mapInArrow(pack, "b long, ids binary, cs binary, xs binary")
-    left = packed.withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-    right = packed.select(F.col("b").alias("to"), F.col("cs").alias("cs2"), F.col("xs").alias("xs2"))
+        def ended():
+            # A cluster's rows come one after the other; one that is complete is told.
+            for k in list(done):
+                d, seen, count = done.pop(k)
+                ids, cs = (np.concatenate([h[c] for h in held]) for c in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(cs), pa.array(np.full(len(ids), k)), pa.array(d, mask=np.full(len(ids), not seen)), pa.array(np.full(len(ids), count))], names=["id", "c", "k", "d", "n"])
 
-    def sums(batches):
         for batch in batches:
-            for ids, cs, xs, cs2, xs2 in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
-                i, c, c2 = (np.frombuffer(v, np.int64) for v in (ids, cs, cs2))
-                x, y = np.frombuffer(xs, np.float64).reshape(len(i), -1), np.frombuffer(xs2, np.float64).reshape(len(c2), -1)
-                d = np.sqrt(np.maximum(0, (x**2).sum(1)[:, None] + (y**2).sum(1)[None] - 2 * x @ y.T))
-                kinds = np.unique(c2)
-                for k in kinds:
-                    own = c2 == k
-                    yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(c), pa.array(np.full(len(i), k)), pa.array(d[:, own].sum(1)), pa.array(np.full(len(i), own.sum()))], names=["id", "c", "k", "d", "n"])
-
-    parts = left.join(right, "to").select("ids", "cs", "xs", "cs2", "xs2").mapInArrow(sums, "id long, c long, k long, d double, n long")
+            at, side = (batch.column(c).to_numpy() for c in (0, 1))
+            cuts = [0, *(np.flatnonzero((np.diff(at) != 0) | (np.diff(side) != 0)) + 1).tolist(), len(at)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if lo == hi:
+                    continue
+                if at[lo] != cell:
+                    yield from ended()
+                    cell, held = at[lo], []
+                part = batch.slice(lo, hi - lo)
+                if side[lo] == 0:
+                    held.append((part.column(2).to_numpy(zero_copy_only=False), part.column(3).to_numpy(), matrix(part.column(4))))
+                    continue
+                for first in range(0, part.num_rows if held else 0, 1024):
+                    own = part.slice(first, 1024)
+                    c, valid = own.column(3).to_numpy(), own.column(4).is_valid().to_numpy(zero_copy_only=False)
+                    if done and c[0] not in done:
+                        yield from ended()
+                    kinds, counts = np.unique(c, return_counts=True)
+                    y = matrix(own.column(4))
+                    seen, starts = np.unique(c[valid], return_index=True)
+                    for k, m in zip(kinds.tolist(), counts.tolist(), strict=True):
+                        old = done.get(k) or (np.zeros(sum(len(h[0]) for h in held)), False, 0)
+                        done[k] = (old[0], old[1] or bool(np.isin(k, seen)), old[2] + m)
+                    # Squared distances as one product: of (x, 1, x * x) with (-2 y, y * y, 1).
+                    other, base = np.vstack([-2 * y.T, (y**2).sum(1), np.ones(len(y))]), 0
+                    for _, _, xs in held if len(y) else ():
+                        for at_x in range(0, len(xs), 256):
+                            x = xs[at_x : at_x + 256]
+                            d = np.column_stack([x, np.ones(len(x)), (x**2).sum(1)]) @ other
+                            np.sqrt(np.maximum(d, 0, out=d), out=d)
+                            for k, col in zip(seen.tolist(), np.add.reduceat(d, starts, axis=1).T, strict=True):
+                                done[k][0][base : base + len(x)] += col
+                            base += len(x)
+                    last = done.pop(c[-1])
+                    yield from ended()
+                    done[int(c[-1])] = last
+        yield from ended()
+
+    parts = cells.repartitionById(down * across, F.col("cell")).sortWithinPartitions("cell", "side", "c").mapInArrow(sums, "id long, c long, k long, d double, n long")
+    parts = parts.unionByName(rows.where("c is null or x is null").select("id", "c", F.lit(None).cast("long").alias("k"), F.lit(None).cast("double").alias("d"), F.lit(0).cast("long").alias("n")))
     per = parts.groupBy("id", "c", "k").agg(F.sum("d").alias("d"), F.sum("n").alias("n"))
     a = F.max(F.when(F.col("c") == F.col("k"), F.col("d") / F.nullif(F.col("n") - 1, F.lit(0))))
     b = F.min(F.when(F.col("c") != F.col("k"), F.col("d") / F.col("n")))

@@ -154,3 +154,28 @@ def test_search_and_annealing(spark):
     assert found["state"] == [1, 1, 1] and found["value"] == 0
     rows = simulation.search_space(spark, {"x": (0.0, 1.0), "k": [1, 2]}, lambda p: (p["x"] - 0.5) ** 2 + p["k"], trials=16).collect()
     assert len(rows) == 16 and min(r["value"] for r in rows) < 1.3
+
+
+def test_silhouette_with_empty_blocks_and_missing_values(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x, c = rng.normal(size=(3000, 3)), rng.integers(0, 4, 3000)
+    c[0] = 9
+    rows = [(k, None if k in (7, 8) else int(c[k]), None if k in (8, 9) else x[k].tolist()) for k in range(3000)]
+    df = spark.createDataFrame(rows, "id long, c int, x array<double>")
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    d[:, [8, 9]] = 0
+    want = []
+    for k in range(3000):
+        if k in (0, 7, 8, 9):  # alone, or label or features are missing
+            want.append(0.0)
+            continue
+        near = {g: d[k, (c == g) & ~np.isin(np.arange(3000), (7, 8))].sum() for g in (0, 1, 2, 3, 9)}
+        n = {g: int(((c == g) & ~np.isin(np.arange(3000), (7, 8))).sum()) for g in near}
+        a, b = near[c[k]] / (n[c[k]] - 1), min(near[g] / n[g] for g in near if g != c[k])
+        want.append((b - a) / max(a, b))
+    for cut in ({}, {"left": 700, "right": 900}):
+        assert M.silhouette(df, "x", "c", "id", **cut).first()["silhouette"] == pytest.approx(np.mean(want), abs=1e-9)
+    assert M.silhouette(df.where("id < 2"), "x", "c", "id").first()["silhouette"] == 0
+    assert M.silhouette(df.where("false"), "x", "c", "id").first()["silhouette"] is None
