@@ -9,7 +9,10 @@ from pyspark.sql import functions as F
 
 
 def regression(y: Column, p: Column, alpha: float = 0.5, delta: float = 1.0, power: float = 0.0) -> dict[str, Column]:
-    """Regression metrics by name; one that is undefined is null. r2 needs ``r2`` of a frame's own moments, done here in one pass."""
+    """Regression metrics by name; one that is undefined is null. r2 needs ``r2`` of a frame's own moments, done here in one pass.
+
+    ``median_ae`` as an aggregate holds a group's distinct errors in one task; ``regression_row`` doesn't.
+    """
     e = y - p
     n = F.count(e)
     var = lambda x: F.var_pop(x)
@@ -38,9 +41,24 @@ def regression(y: Column, p: Column, alpha: float = 0.5, delta: float = 1.0, pow
     }
 
 
+def _regression(df: DataFrame, targets: dict[str, tuple[Column, Column]], names: list[str]) -> DataFrame:
+    """One row of ``target__name`` columns: one pass for all, and narrowing passes for each median."""
+    from tessella.operators.statistics import exact_quantiles
+
+    medians = {t: exact_quantiles(df.select(F.abs(y - p).alias("e")), "e", [0.5])[0] for t, (y, p) in targets.items() if "median_ae" in names}
+    each = {f"{t}__{n}": F.max(F.lit(medians[t]).cast("double")) if n == "median_ae" else regression(y, p)[n] for t, (y, p) in targets.items() for n in names}
+    return df.agg(*(c.alias(k) for k, c in each.items()))
+
+
+def regression_row(df: DataFrame, y: Column, p: Column, names: list[str]) -> DataFrame:
+    """The named metrics of a whole frame; no task holds more than a bounded number of values."""
+    row = _regression(df, {"t": (y, p)}, names)
+    return row.select(*(F.col(f"t__{n}").alias(n) for n in names))
+
+
 def regression_multi(df: DataFrame, targets: dict[str, tuple[str, str]], names: list[str], average: bool = False) -> DataFrame:
-    """target and the named metrics for each (label, prediction) pair, or their mean over targets; rows are read once."""
-    wide = df.agg(*(regression(F.col(y), F.col(p))[n].alias(f"{t}__{n}") for t, (y, p) in targets.items() for n in names))
+    """target and the named metrics for each (label, prediction) pair, or their mean over targets; rows are read once, and again for medians."""
+    wide = _regression(df, {t: (F.col(y), F.col(p)) for t, (y, p) in targets.items()}, names)
     rows = F.array(*(F.struct(F.lit(t).alias("target"), *(F.col(f"{t}__{n}").alias(n) for n in names)) for t in targets))
     each = wide.select(F.inline(rows))
     return each.agg(*(F.avg(n).alias(n) for n in names)) if average else each

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.session import stable
+
 
 def describe(x: Column) -> dict[str, Column]:
     """count, mean, variance (n - 1), skewness and excess kurtosis (population), min, max."""
@@ -45,6 +48,7 @@ def percentile_of_score(x: Column, score: float) -> Column:
 
 
 SMALL = 1_000_000
+FEW_GROUPS = 10_000
 
 
 def _nth(values: DataFrame, n: int, k: int, small: int, accuracy: int) -> float:
@@ -90,6 +94,43 @@ def exact_quantiles(df: DataFrame, x: str, points: list[float], small: int = SMA
     return out
 
 
+def group_quantiles(df: DataFrame, by: list[str], x: str, points: list[float], accuracy: int = 10_000) -> DataFrame:
+    """The columns ``by`` and ``quantiles``, exact with linear interpolation, per group of any size.
+
+    Sketches bound each quantile; only the counts of the distinct values within these
+    bounds, about four of ``accuracy`` parts of a group, meet in one task.
+    """
+    keys = [f"k{i}" for i in range(len(by))]
+    same = lambda a, b: functools.reduce(Column.__and__, (F.col(f"{a}{k}").eqNullSafe(F.col(f"{b}{k}")) for k in keys), F.lit(True))
+    values = df.select(*(F.col(c).alias(k) for c, k in zip(by, keys, strict=True)), F.col(x).cast("double").alias("v"))
+    shares = [min(1.0, max(0.0, q + side * 2 / accuracy)) for q in points for side in (-1, 1)]
+    sketch = F.percentile_approx("v", shares, accuracy).alias("s")
+    ends = values.groupBy(*keys).agg(F.count("v").alias("n"), F.min("v").alias("least"), F.max("v").alias("most"), sketch)
+    # A small group is looked at as a whole.
+    whole = F.col("n") <= 4 * accuracy
+    at = lambda k, q: [(q * (F.col("n") - 1)).alias("at"), F.when(whole, F.col("least")).otherwise(F.col("s")[2 * k]).alias("low"), F.when(whole, F.col("most")).otherwise(F.col("s")[2 * k + 1]).alias("high")]
+    ends = ends.select(*(F.col(k).alias(f"g{k}") for k in keys), "n", *(F.struct(*at(k, q)).alias(f"e{k}") for k, q in enumerate(points)))
+    ends = stable(ends)
+    # The large groups would each go to one task; few groups' bounds go to the rows instead.
+    met = values.where("v is not null").join(F.broadcast(ends) if ends.count() <= FEW_GROUPS else ends, same("", "g"))
+    less = met.groupBy(*keys).agg(*(F.count_if(F.col("v") < F.col(f"e{k}.low")).alias(f"less{k}") for k in range(len(points))))
+    less = less.select(*(F.col(k).alias(f"l{k}") for k in keys), F.array(*(F.col(f"less{k}") for k in range(len(points)))).alias("less"))
+    inside = lambda k: F.when(F.col("v").between(F.col(f"e{k}.low"), F.col(f"e{k}.high")), F.struct(F.lit(k).alias("p"), F.col(f"e{k}.at").alias("at")))
+    near = met.select(*keys, "v", "n", F.explode(F.array_compact(F.array(*map(inside, range(len(points)))))).alias("e"))
+    counts = near.groupBy(*keys, "n", F.col("e.p").alias("p"), F.col("e.at").alias("at"), "v").agg(F.count("*").alias("m"))
+    base = F.get("less", F.col("p"))
+    upto = F.sum("m").over(Window.partitionBy(*keys, "p").orderBy("v"))
+    ranked = counts.withColumn("upto", upto).join(less, same("", "l")).select(*keys, "p", "at", "n", "v", (base + F.col("upto")).alias("upto"), base.alias("base"))
+    first, second = F.floor("at"), F.least(F.floor("at") + 1, F.col("n") - 1)
+    found = ranked.groupBy(*keys, "p", "at", "n").agg(F.min("base").alias("base"), F.min(F.when(F.col("upto") > first, F.col("v"))).alias("a"), F.min(F.when(F.col("upto") > second, F.col("v"))).alias("b"))
+    sound = (F.col("base") <= first) & F.col("b").isNotNull()
+    value = F.when(sound, F.col("a") + (F.col("b") - F.col("a")) * (F.col("at") - first)).otherwise(F.raise_error(F.lit("a sketch missed a quantile")).cast("double"))
+    held = found.select(*keys, "p", value.alias("q")).groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("p", "q"))), lambda e: e["q"]).alias("quantiles"))
+    # Groups without any value keep their row.
+    held = held.select(*(F.col(k).alias(f"h{k}") for k in keys), "quantiles")
+    return ends.join(held, same("g", "h"), "left").select(*(F.col(f"g{k}").alias(c) for c, k in zip(by, keys, strict=True)), "quantiles")
+
+
 def robust(df: DataFrame, x: str, approximate: int | None = None) -> DataFrame:
     """median, iqr, mad, q1, q3 of a column, exact; ``approximate`` is the accuracy of sketches instead."""
     points = [0.5, 0.25, 0.75]

@@ -22,8 +22,8 @@ def robust_value(spark, d):
 
 
 def percentiles_value(spark, d):
-    p = S.percentiles(F.col("l_extendedprice"), [5, 50, 95])
-    return T(spark, d, "lineitem").groupBy("l_returnflag").agg(p.alias("p")).select("l_returnflag", *(F.round(F.col("p")[k], 4).alias(f"p{v}") for k, v in enumerate((5, 50, 95))))
+    p = S.group_quantiles(T(spark, d, "lineitem"), ["l_returnflag"], "l_extendedprice", [0.05, 0.5, 0.95])
+    return p.select("l_returnflag", *(F.round(F.col("quantiles")[k], 4).alias(f"p{v}") for k, v in enumerate((5, 50, 95))))
 
 
 def percentile_of_score(spark, d):
@@ -125,8 +125,9 @@ def log_loss_labels(spark, d):
 
 
 def regression_metrics(spark, d):
-    m = M.regression(F.col("l_extendedprice"), F.col("l_quantity") * 1000)
-    return T(spark, d, "lineitem").agg(*(F.round(m[k], 4).alias(k) for k in ("mse", "rmse", "mae", "r2", "mape", "explained_variance", "max_error", "median_ae", "mean_error", "pinball_loss", "huber")))
+    names = ["mse", "rmse", "mae", "r2", "mape", "explained_variance", "max_error", "median_ae", "mean_error", "pinball_loss", "huber"]
+    m = M.regression_row(T(spark, d, "lineitem"), F.col("l_extendedprice"), F.col("l_quantity") * 1000, names)
+    return m.select(*(F.round(k, 4).alias(k) for k in names))
 
 
 def csv_fields(spark, d):

@@ -179,3 +179,21 @@ def test_silhouette_with_empty_blocks_and_missing_values(spark):
         assert M.silhouette(df, "x", "c", "id", **cut).first()["silhouette"] == pytest.approx(np.mean(want), abs=1e-9)
     assert M.silhouette(df.where("id < 2"), "x", "c", "id").first()["silhouette"] == 0
     assert M.silhouette(df.where("false"), "x", "c", "id").first()["silhouette"] is None
+
+
+def test_medians_and_group_quantiles_need_no_percentile_aggregate(spark):
+    rows = spark.range(50_000).select((F.col("id") * 7919 % 50_021 % 997 + F.col("id") % 3).cast("double").alias("y"), (F.col("id") % 11).cast("double").alias("p"), F.when(F.col("id") % 5 > 0, F.lit("a")).alias("g"))
+    names = ["mae", "median_ae"]
+    got = M.regression_row(rows, F.col("y"), F.col("p"), names)
+    want = rows.agg(*(M.regression(F.col("y"), F.col("p"))[n].alias(n) for n in names))
+    assert tuple(got.first()) == pytest.approx(tuple(want.first()))
+    multi = M.regression_multi(rows, {"t": ("y", "p")}, names)
+    for plan in (got, multi):
+        assert "percentile" not in plan._jdf.queryExecution().toString().lower() and "median(" not in plan._jdf.queryExecution().toString().lower()
+    more = rows.select("g", "y").unionByName(spark.createDataFrame([("few", 1.0), ("few", 4.0), ("none", None)], "g string, y double"))
+    points = [0.0, 0.05, 0.5, 0.95, 1.0]
+    exact = {r["g"]: r["q"] for r in more.groupBy("g").agg(statistics.percentiles(F.col("y"), [100 * q for q in points]).alias("q")).collect()}
+    for accuracy in (100, 10_000):
+        quantiles = {r["g"]: r["quantiles"] for r in statistics.group_quantiles(more, ["g"], "y", points, accuracy).collect()}
+        assert set(quantiles) == set(exact) == {"a", "few", "none", None} and quantiles["none"] is None
+        assert all(quantiles[g] == pytest.approx(exact[g]) for g in ("a", "few", None))
