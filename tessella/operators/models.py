@@ -6,12 +6,13 @@ Gaussian mixtures, least squares. State is kept by MLlib's own persistence.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml import Model
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -103,12 +104,18 @@ def mixture_sample(spark, model: Model, n: int, features: Sequence[str], seed: i
     return base.select("component", *(value(i).alias(c) for i, c in enumerate(features)))
 
 
+def _calibrated(rows: DataFrame, score: Column, confidence: float) -> float | None:
+    """The ceil((n + 1) * confidence)-th smallest score, the largest at most: exact, by passes that narrow its range."""
+    from tessella.operators.statistics import SMALL, nth
+
+    values = rows.select(score.cast("double").alias("v")).where("v is not null")
+    n = values.count()
+    return nth(values, n, min(n, math.ceil(round((n + 1) * confidence, 6))) - 1, SMALL) if n else None
+
+
 def conformal_width(calibration: DataFrame, label: str, confidence: float) -> float:
     """Half width of a split-conformal interval: the (n + 1) * confidence / n quantile of absolute residuals."""
-    residual = F.abs(F.col(label) - F.col("prediction"))
-    n = calibration.count()
-    share = min(1.0, -(-(n + 1) * confidence // 1) / n)
-    return calibration.select(residual.alias("r")).agg(F.percentile_approx("r", share, 100_000).alias("w")).first()["w"]
+    return _calibrated(calibration, F.abs(F.col(label) - F.col("prediction")), confidence)
 
 
 def conformal_interval(predicted: DataFrame, width: float) -> DataFrame:
@@ -118,10 +125,7 @@ def conformal_interval(predicted: DataFrame, width: float) -> DataFrame:
 
 def conformal_sets(predicted: DataFrame, calibration: DataFrame, label: str, confidence: float) -> DataFrame:
     """``set``: classes whose probability is at least 1 - the quantile of calibration scores."""
-    score = 1 - F.get("probability", F.col(label).cast("int"))
-    n = calibration.count()
-    share = min(1.0, -(-(n + 1) * confidence // 1) / n)
-    cut = calibration.select(score.alias("s")).agg(F.percentile_approx("s", share, 100_000).alias("q")).first()["q"]
+    cut = _calibrated(calibration, 1 - F.get("probability", F.col(label).cast("int")), confidence)
     picked = F.filter(F.transform("probability", lambda p, i: F.when(p >= 1 - cut, i.cast("long"))), lambda i: i.isNotNull())
     return predicted.withColumn("set", picked)
 
@@ -180,9 +184,7 @@ def conformal_quantile_fit(trained: DataFrame, calibration: DataFrame, features:
     fitted = {q: quantile_fit(trained, features, label, q) for q in ((1 - confidence) / 2, 0.5, (1 + confidence) / 2)}
     rows = quantile_predict(calibration, fitted)
     outside = F.greatest(F.get("quantiles", F.lit(0)) - F.col(label), F.col(label) - F.get("quantiles", F.lit(2)))
-    n = calibration.count()
-    share = min(1.0, -(-(n + 1) * confidence // 1) / n)
-    return fitted, rows.agg(F.percentile_approx(outside, share, 100_000).alias("w")).first()["w"]
+    return fitted, _calibrated(rows, outside, confidence)
 
 
 def conformal_quantile_interval(df: DataFrame, fitted: dict[float, dict[str, float]], width: float) -> DataFrame:

@@ -51,7 +51,7 @@ SMALL = 1_000_000
 FEW_GROUPS = 10_000
 
 
-def _nth(values: DataFrame, n: int, k: int, small: int, accuracy: int) -> float:
+def nth(values: DataFrame, n: int, k: int, small: int, accuracy: int = 10_000) -> float:
     """The value of rank k (from 0) among n: a sketch gives bounds around it, what lies between is looked at again."""
     below, reach = 0, 2.0
     while n > small:
@@ -88,8 +88,8 @@ def exact_quantiles(df: DataFrame, x: str, points: list[float], small: int = SMA
     for q in points:
         at = q * (n - 1)
         k = min(int(at), n - 1)
-        a = _nth(values, n, k, small, accuracy)
-        b = a if at == k else _nth(values, n, k + 1, small, accuracy)
+        a = nth(values, n, k, small, accuracy)
+        b = a if at == k else nth(values, n, k + 1, small, accuracy)
         out.append(a + (b - a) * (at - k))
     return out
 

@@ -197,3 +197,18 @@ def test_medians_and_group_quantiles_need_no_percentile_aggregate(spark):
         quantiles = {r["g"]: r["quantiles"] for r in statistics.group_quantiles(more, ["g"], "y", points, accuracy).collect()}
         assert set(quantiles) == set(exact) == {"a", "few", "none", None} and quantiles["none"] is None
         assert all(quantiles[g] == pytest.approx(exact[g]) for g in ("a", "few", None))
+
+
+def test_conformal_width_is_the_exact_order_statistic(spark):
+    n = 150_001
+    rows = spark.range(n).select((F.col("id") * 7919 % n).cast("double").alias("y"), F.lit(0.0).alias("prediction"))
+    for confidence in (0.9, 0.5, 1.0):
+        assert models.conformal_width(rows, "y", confidence) == min(n, -(-(n + 1) * round(confidence * 10) // 10)) - 1
+    plan = []
+    real = F.percentile_approx
+    F.percentile_approx = lambda c, p, a: plan.append(a) or real(c, p, a)
+    try:
+        models.conformal_width(rows, "y", 0.9)
+    finally:
+        F.percentile_approx = real
+    assert all(a <= 10_000 for a in plan)  # a sketch of 100,000 from each task went to one
