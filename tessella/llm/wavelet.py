@@ -238,7 +238,7 @@ def open_shard(data: bytes) -> tuple[pa.Array, np.ndarray, WaveletMatrix]:
     return doc_ids, lengths, WaveletMatrix.from_bytes(memoryview(data)[at + 17 * docs :], width, n)
 
 
-_MEMORY_ENTRIES, _TOGETHER = 1_500_000, 2048
+_MEMORY_ENTRIES, _TOGETHER = 1_500_000, 512
 _encoders: dict[str, PieceEncoder] = {}
 _HASH_BASES = (0x9E3779B97F4A7C15 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _CODES = [np.random.default_rng(k).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for k in (71, 72)]
@@ -288,6 +288,21 @@ class _Table:
         self.size += len(keys)
 
 
+class _Growing:
+    """An array that takes more at its end; room doubles, so that each value is copied a few times at most."""
+
+    def __init__(self, kind: type, room: int = 1 << 12):
+        self.all, self.size = np.zeros(room, kind), 0
+
+    def extend(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.all):
+            wider = np.empty(max(2 * len(self.all), self.size + len(more)), self.all.dtype)
+            wider[: self.size] = self.all[: self.size]
+            self.all = wider
+        self.all[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
 class PieceEncoder:
     """Whole-text encoding through a memory of space-separated pieces.
 
@@ -323,8 +338,8 @@ class PieceEncoder:
 
     def _clear(self) -> None:
         self._table = _Table()
-        self._second = np.zeros(0, np.uint32)
-        self._flat, self._start = np.zeros(0, np.uint32), np.zeros(1, np.int32)
+        self._second, self._flat, self._start = _Growing(np.uint32), _Growing(np.uint32), _Growing(np.int32)
+        self._start.extend(np.zeros(1, np.int32))
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.uint32) for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -346,9 +361,9 @@ class PieceEncoder:
         ids, starts = self._later([pieces[k] for k in order[:n]])
         own = self._whole([pieces[k] for k in order[n:]])
         lengths = np.concatenate([np.diff(np.append(starts, len(ids))), np.array([len(x) for x in own], np.int64)])
-        self._flat = np.concatenate([self._flat, ids, *own])
-        self._start = np.concatenate([self._start, (self._start[-1] + np.cumsum(lengths)).astype(np.int32)])
-        self._second = np.concatenate([self._second, second[order]])
+        self._start.extend((self._flat.size + np.cumsum(lengths)).astype(np.int32))
+        self._flat.extend(np.concatenate([ids, *own]))
+        self._second.extend(second[order])
         self._table.add(keys[order])
 
     def _pieces(self, texts: list[bytes]):
@@ -384,11 +399,12 @@ class PieceEncoder:
             spots = new[first]
             self._learn(keys, two[spots], [data[starts[k] : ends[k]].decode() for k in spots.tolist()], heads[spots])
             at[new] = self._table.find(one[new])
-        odd |= (at < 0) | (self._second[at] != two)
+        odd |= (at < 0) | (self._second.all[at] != two)
         at[odd] = 0
-        lengths = self._start[at + 1] - self._start[at]
+        begin = self._start.all[at]
+        lengths = self._start.all[at + 1] - begin
         upto = np.cumsum(lengths)
-        flat = self._flat[np.repeat(self._start[at] - (upto - lengths), lengths) + np.arange(upto[-1])]
+        flat = self._flat.all[np.repeat(begin - (upto - lengths), lengths) + np.arange(upto[-1])]
         last = np.cumsum(counts)
         out = np.split(flat, upto[last[:-1] - 1])
         again = np.unique(np.searchsorted(last, np.flatnonzero(odd), side="right")).tolist()

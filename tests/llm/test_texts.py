@@ -419,3 +419,19 @@ def test_chat_read_back_on_whole_table(spark, sf):
     got = QUERIES["chat_read_back"](spark, sf)
     want = con.sql(SQL["chat_read_back"])
     assert got.columns == want.columns and sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
+def test_piece_memory_is_not_copied_at_each_batch():
+    from tessella.llm import wavelet
+    from tessella.llm.queries import tokenizer_path
+
+    e = wavelet.PieceEncoder(tokenizer_path())
+    moved = 0
+    held = None
+    for k in range(200):
+        texts = [" ".join(f"w{k}x{j} a-{j}.\nb" for j in range(50))]
+        assert e.encode(texts)[0].tolist() == e._tokenizer.encode(texts[0], add_special_tokens=False).ids
+        now = e._flat.all
+        moved += now is not held
+        held = now
+    assert moved < 20
