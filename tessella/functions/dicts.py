@@ -28,7 +28,7 @@ def _call(f: Fn, e: Column) -> Column:
 
 
 def _sorted(d: Column) -> Column:
-    return F.transform(F.array_sort(F.transform(d, lambda e, i: F.struct(e["key"].alias("k"), i.alias("i"), e.alias("e")))), lambda s: s["e"])
+    return F.transform(F.array_sort(F.transform(d, lambda e, i: F.struct(e["key"].isNull().alias("none"), e["key"].alias("k"), i.alias("i"), e.alias("e")))), lambda s: s["e"])
 
 
 def entries(keys: Column, f: Fn) -> Column:
@@ -111,11 +111,12 @@ def try_get(d: Column, key) -> Column:
 
 def get(d: Column, key) -> Column:
     """The value of a key; a missing key is an error."""
-    return F.when(has(d, key), try_get(d, key)).otherwise(F.raise_error(F.concat(F.lit("missing key: "), _col(key).cast("string"))))
+    missing = F.raise_error(F.concat(F.lit("missing key: "), _col(key).cast("string")))
+    return let(_found(d, key), lambda e: F.when(e.isNotNull(), e["value"]).otherwise(missing))
 
 
 def get_or_default(d: Column, key, default: Fn) -> Column:
-    return F.when(has(d, key), try_get(d, key)).otherwise(default(_col(key)))
+    return let(_found(d, key), lambda e: F.when(e.isNotNull(), e["value"]).otherwise(default(_col(key))))
 
 
 def get_keys(d: Column, wanted: Column, default: Fn) -> Column:
@@ -124,7 +125,8 @@ def get_keys(d: Column, wanted: Column, default: Fn) -> Column:
 
 
 def _put(d: Column, key, value) -> Column:
-    return _sorted(F.array_append(F.filter(d, lambda e: e["key"] != _col(key)), _entry(_col(key), _col(value))))
+    part = lambda p: F.filter(d, lambda e: p(e["key"], _col(key)))
+    return F.concat(part(lambda a, b: a < b), F.array(_entry(_col(key), _col(value))), part(lambda a, b: a > b))
 
 
 def _error(d: Column, text: str) -> Column:
@@ -139,7 +141,7 @@ def insert(d: Column, key, value) -> Column:
 def get_or_insert(d: Column, key, default: Fn) -> Column:
     """struct(value, dict)."""
     v = get_or_default(d, key, default)
-    return F.struct(v.alias("value"), F.when(has(d, key), d).otherwise(_put(d, key, v)).alias("dict"))
+    return F.struct(v.alias("value"), F.when(has(d, key), d).otherwise(_put(d, key, default(_col(key)))).alias("dict"))
 
 
 def insert_or_update(d: Column, key, value, merge: Fn) -> Column:
@@ -149,7 +151,8 @@ def insert_or_update(d: Column, key, value, merge: Fn) -> Column:
 
 def update(d: Column, key, value) -> Column:
     """The dict with a key's value replaced; a missing key is an error."""
-    return F.when(has(d, key), _put(d, key, value)).otherwise(_error(d, "missing key"))
+    placed = F.transform(d, lambda e: F.when(e["key"] == _col(key), _entry(_col(key), _col(value))).otherwise(e))
+    return F.when(has(d, key), placed).otherwise(_error(d, "missing key"))
 
 
 def swap(d: Column, key, value) -> Column:
@@ -192,9 +195,11 @@ def union(a: Column, b: Column, merge: Fn) -> Column:
 
 def merge_all(a: Column, b: Column, f: Fn, default: Fn) -> Column:
     """As union, but a key that only b has gets f(default(key), value, key)."""
-    fresh = F.filter(b, lambda e: ~has(a, e["key"]))
-    started = F.concat(a, F.transform(fresh, lambda e: _entry(e["key"], default(e["key"]))))
-    return from_entries(F.concat(started, b), f)
+    joined = f if f.__code__.co_argcount >= 3 else lambda old, new, _: f(old, new)
+    found = lambda d, k: F.get(F.filter(d, lambda e: e["key"].eqNullSafe(k)), F.lit(0))
+    met = F.transform(a, lambda e: let(found(b, e["key"]), lambda n: _entry(e["key"], F.when(n.isNull(), e["value"]).otherwise(joined(e["value"], n["value"], e["key"])))))
+    fresh = F.transform(F.filter(b, lambda e: found(a, e["key"]).isNull()), lambda e: _entry(e["key"], joined(default(e["key"]), e["value"], e["key"])))
+    return _sorted(F.concat(met, fresh))
 
 
 def map_(d: Column, f: Fn) -> Column:

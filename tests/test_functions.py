@@ -184,3 +184,28 @@ def test_text_form(spark):
     assert one(spark, tf.print_set(ints(1, 2), T.LongType())) == "{1,2}"
     assert one(spark, tf.print_dict(dicts.entries(ints(1), lambda k: k), T.LongType(), T.LongType())) == "{1:1}"
     assert one(spark, tf.print_variant(F.struct(F.lit("none").alias("tag"), F.lit(None).cast("long").alias("some")), {"some": T.LongType()})) == ".none"
+
+
+def test_dict_changes_keep_order_and_sort_nothing(spark):
+    from pyspark.sql import functions as F
+
+    from tessella.functions import dicts as D
+
+    pair = lambda k, v: F.struct(F.lit(k).cast("long").alias("key"), F.lit(v).cast("long").alias("value"))
+    d = F.array(pair(2, 20), pair(5, None), pair(9, 90))
+    b = F.array(pair(1, 7), pair(5, 3), pair(9, 1))
+    got = {
+        "put": D.insert_or_update(d, F.lit(4).cast("long"), F.lit(1).cast("long"), lambda old, new, k: old + new),
+        "changed": D.update(d, F.lit(5).cast("long"), F.lit(6).cast("long")),
+        "merged": D.merge_all(d, b, lambda old, new, k: F.coalesce(old, F.lit(0)) * 100 + new + k, lambda k: k * 10),
+        "none": D.get_or_default(d, F.lit(5).cast("long"), lambda k: k),
+    }
+    df = spark.range(1).select(*(c.alias(n) for n, c in got.items()))
+    row = df.first()
+    listed = lambda n: [(e["key"], e["value"]) for e in row[n]]
+    assert listed("put") == [(2, 20), (4, 1), (5, None), (9, 90)] and listed("changed") == [(2, 20), (5, 6), (9, 90)]
+    assert listed("merged") == [(1, 1008), (2, 20), (5, 8), (9, 9010)] and row["none"] is None
+    col = F.col("d")
+    kept = spark.range(1).select(D.from_map(F.create_map(F.lit(1), F.col("id"))).alias("d"))
+    plan = kept.select(D.update(col, F.lit(1), F.lit(5).cast("long")).alias("x"), D.insert_or_update(col, F.lit(1), F.lit(5).cast("long"), lambda o, n, k: n).alias("y"))
+    assert plan._jdf.queryExecution().analyzed().toString().split("Project")[1].count("array_sort") == 0
