@@ -185,6 +185,69 @@ def test_recall_of_passages_among_frequent_lines(spark):
     assert all(a // 10 == b // 10 and a < 2000 for a, b in links)
 
 
+def test_neighbours_of_a_chain_are_linked_whatever_their_ends_are_tied_to(spark):
+    """Four versions of a passage, each like the next one only: the middle ones are tied to the smallest and to the largest."""
+    rows, sets = [], {}
+    for g in range(8):
+        p = prose(80, 600 + g).split(" ")
+        for k, places in enumerate(((), (16, 48), (32, 64), (16, 48))):
+            for at in places:
+                p[at] = f"new{g}x{k}x{at}"
+            sets[10 * g + k] = shingles(" ".join(p))
+            rows.append((10 * g + k, " ".join([prose(60, 7000 + 10 * g + k), *p, prose(60, 9000 + 10 * g + k)]), "a"))
+    got = substring_dedup.repeated_passages(docs_frame(spark, rows)).collect()
+    alike = {(b, a) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])}
+    assert alike == {(10 * g + k + 1, 10 * g + k) for g in range(8) for k in range(3)}
+    assert {(max(r["doc_id"], r["other_id"]), min(r["doc_id"], r["other_id"])) for r in got} == alike
+
+
+def test_thinning_keeps_every_stretch_that_may_be_a_passage():
+    rng = np.random.default_rng(6)
+    size = substring_dedup._OTHER_SPAN
+    for _ in range(30):
+        n = int(rng.integers(size, 150))
+        shared, again = rng.random(n) < rng.choice([0.5, 0.7, 0.8]), rng.random(n) < 0.1
+        borders = np.unique(rng.integers(1, n - 1, int(rng.integers(0, 3))))
+        want = np.zeros(n, bool)
+        for i in range(n):
+            for j in range(i + size, n + 1):
+                if not ((i <= borders) & (borders < j)).any() and shared[i:j].sum() >= 3 * (~shared[i:j] & ~again[i:j]).sum():
+                    want[i:j] = True
+        assert substring_dedup._dense(shared, again, borders).tolist() == want.tolist()
+
+
+def test_shingles_beside_centres_are_counted_exactly():
+    rng = np.random.default_rng(8)
+    x, y = (rng.integers(0, 150, (n, 91)).astype(np.uint32) for n in (7, 11))
+    sets = [[set(r.tolist()) - {0} for r in rows] for rows in (x, y)]
+    both, n_x, n_y = substring_dedup._in_common(x, y)
+    assert both.tolist() == [[len(a & b) for b in sets[1]] for a in sets[0]]
+    assert [n_x.tolist(), n_y.tolist()] == [[len(s) for s in side] for side in sets]
+
+
+def test_pairs_of_windows_are_left_out_only_within_a_class():
+    rng = np.random.default_rng(9)
+    for same in (True, False) * 10:
+        n, m = 12, 12 if same else 9
+        ok = rng.random((n, m)) < 0.5
+        open_x = rng.random(n) < 0.8
+        open_y = open_x if same else rng.random(m) < 0.8
+        ok &= open_x[:, None] | open_y
+        ok = np.triu(ok, 1) if same else ok
+        alike = ok & (rng.random((n, m)) < 0.2)
+        i, j = substring_dedup._thin_pairs(ok, alike, open_x, open_y, same)
+        kept = set(zip(i.tolist(), j.tolist(), strict=True))
+        assert kept <= set(zip(*(x.tolist() for x in np.nonzero(ok)), strict=True))
+        node = (lambda k: k) if same else (lambda k: n + k)
+        nodes = range(n if same else n + m)
+        shut = np.flatnonzero(~(open_x if same else np.concatenate([open_x, open_y]))).tolist()
+        through = [(shut[0], k) for k in shut]
+        links = [(a, node(b)) for a, b in zip(*(x.tolist() for x in np.nonzero(alike)), strict=True)]
+        of = components(nodes, links + through)
+        assert components(nodes, [(a, node(b)) for a, b in kept if alike[a, b]] + through) == of
+        assert all((a, b) in kept for a, b in zip(*(x.tolist() for x in np.nonzero(ok)), strict=True) if of[a] != of[node(b)])
+
+
 def best_likeness(a, b, span):
     """Largest similarity of any two stretches, one of ``span`` or more, from all of them."""
     best = 0.0
