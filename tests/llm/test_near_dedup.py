@@ -282,3 +282,30 @@ def test_passages_with_inserted_words_in_either_order():
             assert bool(substring_dedup.passages(a, b, 18)) == there, n
         found += there
     assert 5 < found < 40
+
+
+def test_versions_of_a_text_are_tied_without_all_their_pairs(spark):
+    """Versions that a text's first one ties, exact copies of some, and a stranger with a lower id that holds pieces of it."""
+    base = prose(300, 60)
+    words = base.split(" ")
+    rows = [(0, " ".join(x for at in range(0, 300, 12) for x in (*words[at : at + 12], prose(30, 900 + at))), "b"), (1, base, "a")]
+    rows += [(k, changed(base, 36 + k % 5, k), "a") for k in range(2, 32)]
+    rows += [(100 + k, rows[2 + k % 10][1], "a") for k in range(40)]
+    got = substring_dedup.repeated_passages(docs_frame(spark, rows)).collect()
+    links = [(r["doc_id"], r["other_id"]) for r in got]
+    of = components([i for i, _, _ in rows], links)
+    assert all(of[i] == 1 for i, _, _ in rows if i) and of[0] == 0
+    assert all(a > b for a, b in links) and len(set(links)) < 2 * len(rows)
+
+
+def test_runs_without_a_wanted_position_are_not_looked_into():
+    rng = np.random.default_rng(5)
+    one, two = (rng.integers(1, 1 << 40, 80).astype(np.uint64) for _ in range(2))
+    gap = [rng.integers(1, 1 << 40, 200).astype(np.uint64) for _ in range(2)]
+    a, b = (np.concatenate([one, g, two]) for g in gap)
+    at = lambda *x: (np.array(x), np.array(x))
+    whole = [(0, 79, 0, 79, 1.0), (280, 359, 280, 359, 1.0)]
+    assert substring_dedup.passages(a, b) == whole
+    assert substring_dedup.passages(a, b, 46, *at(10)) == whole[:1]
+    assert substring_dedup.passages(a, b, 46, *at(10, 300)) == whole
+    assert substring_dedup.passages(a, b, 46, *at(180)) == []
