@@ -309,3 +309,44 @@ def test_runs_without_a_wanted_position_are_not_looked_into():
     assert substring_dedup.passages(a, b, 46, *at(10)) == whole[:1]
     assert substring_dedup.passages(a, b, 46, *at(10, 300)) == whole
     assert substring_dedup.passages(a, b, 46, *at(180)) == []
+
+
+def test_passages_at_the_edge_of_a_text_are_found(spark):
+    """Pairs whose passage needs the first words of a text, which the search for longest runs leaves out."""
+    rows, sets = [], []
+    for n, seed in enumerate((20, 280, 323, 357, 732, 823, 1468)):
+        rng = random.Random(seed)
+        p = prose(rng.randint(40, 75), seed).split(" ")
+        q = list(p)
+        for k in range(rng.randint(0, 5)):
+            q[rng.randrange(len(q))] = f"new{k}x{n}"
+        for k, words in enumerate((p, q)):
+            around = [prose(rng.randint(0, 20), seed + (2 * k + i) * 10**6) for i in (1, 2)]
+            rows.append((10 * n + k, " ".join([around[0], *words, around[1]]).strip(), "a"))
+        sets.append([shingle_list(rows[-2][1]), shingle_list(rows[-1][1])])
+    assert all(most_alike(a, b, 46) >= 0.75 for a, b in sets)
+    got = substring_dedup.repeated_passages(docs_frame(spark, rows)).collect()
+    assert {(r["doc_id"], r["other_id"]) for r in got} == {(10 * n + 1, 10 * n) for n in range(len(sets))}
+    for r in got:
+        a, b = sets[r["other_id"] // 10]
+        own = set(b[r["start_word"] : r["start_word"] + r["n_words"] - 4])
+        other = set(a[r["other_start_word"] : r["other_start_word"] + r["other_n_words"] - 4])
+        assert abs(len(own & other) / len(own | other) - r["similarity"]) < 1e-9
+
+
+def shingle_list(text):
+    words = text.split(" ")
+    return [tuple(words[k : k + 5]) for k in range(len(words) - 4)]
+
+
+def most_alike(a, b, span):
+    """Largest similarity of a stretch of ``span`` shingles of either side and any stretch of the other."""
+    best = 0.0
+    for x, y in ((a, b), (b, a)):
+        for i in range(len(x) - span + 1):
+            own = set(x[i : i + span])
+            for j in range(len(y)):
+                for k in range(j + 35, min(len(y), j + 61) + 1):
+                    other = set(y[j:k])
+                    best = max(best, len(own & other) / len(own | other))
+    return best
