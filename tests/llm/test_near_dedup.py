@@ -350,3 +350,53 @@ def most_alike(a, b, span):
                     other = set(y[j:k])
                     best = max(best, len(own & other) / len(own | other))
     return best
+
+
+def test_codes_of_texts_without_repeats_are_not_kept(spark, monkeypatch):
+    from pathlib import Path
+
+    sizes, keep = {}, substring_dedup.Scratch.keep
+
+    def measured(self, frame, name):
+        out = keep(self, frame, name)
+        folder = Path(f"{self.path}/{name}".removeprefix("file:").replace("//", "/"))
+        sizes[name] = sum(f.stat().st_size for f in folder.rglob("*.parquet"))
+        return out
+
+    monkeypatch.setattr(substring_dedup.Scratch, "keep", measured)
+    p = prose(60, 3)
+    rows = [(k, prose(400, 10 + k) + (" " + p if k < 2 else ""), "a") for k in range(600)]
+    got = substring_dedup.repeated_passages(docs_frame(spark, rows)).collect()
+    assert [(r["doc_id"], r["other_id"], r["n_words"]) for r in got] == [(1, 0, 60)]
+    # 240,000 shingles have codes of 1.2 MB.
+    assert sizes and max(sizes.values()) < 600_000
+
+
+def test_pairs_without_a_passage_beside_their_centres_are_left_out():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 1 << 32, 91).astype(np.uint32)
+
+    def version(*places):
+        out = base.copy()
+        for at in places:
+            out[at : at + 5] = rng.integers(1, 1 << 32, len(out[at : at + 5]))
+        return out
+
+    x = np.stack([base, version(20), version(10, 50), version(8, 28, 55, 80)])
+    y = np.stack([base, version(60), version(25, 70), version(15, 35, 62, 75)])
+    i, j = (v.ravel() for v in np.indices((4, 4)))
+    maybe = substring_dedup._maybe_alike(x, y, i, j).reshape(4, 4)
+    sure = substring_dedup._surely_alike(x, y, i, j).reshape(4, 4)
+    there = np.array([[best_around(a, b) >= 0.75 for b in y] for a in x])
+    assert (maybe | ~there).all() and (there | ~sure).all()
+    assert not maybe[3, 3] and maybe[:2, :2].all() and sure[:2, :2].all()
+
+
+def best_around(a, b):
+    """Largest similarity of stretches around the middle, of 46 of one side and as many of the other."""
+    best = 0.0
+    for i in range(46):
+        for k in range(max(i + 46, 46), 92):
+            own, other = set(a[i:k].tolist()), set(b[i:k].tolist())
+            best = max(best, len(own & other) / len(own | other))
+    return best
